@@ -83,7 +83,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS, ro
     named = joined.select("text", F.concat("lang", F.when(F.col("quality") > 0, "/good").otherwise("/poor")).alias("domain"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 0):
             row, feature, value, count = _hashed(batch.column(0))
             start, size = _text.spans(row, len(count))
             cuts = pa.array(np.concatenate([start, [len(row)]]).astype(np.int32))
@@ -122,7 +122,7 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
     """(doc_id, n_tokens, posterior) of every row; a null text has no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 1):
             p, count = model.posterior(batch.column(1))
             cuts = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.ListArray.from_arrays(cuts, pa.array(p.reshape(-1)))], ["doc_id", "n_tokens", "posterior"])
@@ -212,7 +212,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, at):
             p, _ = model.posterior(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], [*batch.schema.names, "__rate"])
 
