@@ -1,0 +1 @@
+"""Operators over utterance and score tables."""

@@ -1,0 +1 @@
+"""Whole runs as logical plans, and the catalogue of queries."""

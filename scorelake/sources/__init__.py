@@ -1,0 +1 @@
+"""Readers and writers of listings, transcripts, signals and score files."""
