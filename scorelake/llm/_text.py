@@ -45,7 +45,7 @@ def buffers(col: pa.Array | pa.ChunkedArray, lower: bool = True) -> tuple[np.nda
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
-def pieces(batches, column: int, size: int = 4 << 20):
+def pieces(batches, column: int, size: int = 1 << 20):
     """The batches cut into slices of at most about ``size`` bytes of text, one row at least.
 
     Work on a slice takes some dozen bytes of memory a byte of text, whatever the batches' size is.
@@ -61,6 +61,7 @@ def pieces(batches, column: int, size: int = 4 << 20):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def words(col, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

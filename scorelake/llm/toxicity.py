@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.llm import _text
 from scorelake.llm._common import require, share, staged
@@ -61,7 +62,7 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS, least
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 0):
             n = batch.num_rows
             h, row, firsts = _text.words(batch.column(0), PREFIXES)
             start, count = _text.spans(row, n)
@@ -69,11 +70,12 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS, least
             toxic = batch.column(1).to_numpy()
             kinds, terms, owner = [], [], []
             for kind, x in enumerate([h, *firsts]):
-                some = x != 0
-                both = np.unique(np.stack([x[some], row[some].astype(np.uint64)]), axis=1) if some.any() else np.zeros((2, 0), np.uint64)
-                terms.append(both[0])
-                owner.append(both[1].astype(np.int64))
-                kinds.append(np.full(both.shape[1], kind, np.int8))
+                some = np.flatnonzero(x)
+                # once a document: the pair's hash stands for the pair
+                some = some[np.unique(x[some] ^ _text.mix(row[some].astype(np.uint64)), return_index=True)[1]]
+                terms.append(x[some])
+                owner.append(row[some])
+                kinds.append(np.full(len(some), kind, np.int8))
             owner = np.concatenate(owner)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(kinds)), pa.array(np.concatenate(terms).view(np.int64)), pa.array(toxic[owner].astype(np.int32)), pa.array(sketch[owner].view(np.int64))],
@@ -272,8 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trai
     lex = mine_terms(docs, labels, label_rows)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, _, _ = votes(batch.column(1), lex)
+        for batch in _text.pieces(batches, 1):
+            v = votes(batch.column(1), lex)[0]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pack(v))], ["doc_id", "pattern"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
@@ -291,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trai
     chosen = voted.filter((is_pos & share("doc_id", min(1.0, half / n_pos))) | (~is_pos & share("doc_id", min(1.0, half / n_neg)))).select("doc_id").distinct()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.pieces(batches, 0):
             v, row, feature, value, _ = _features(batch.column(0), lex)
             order = np.argsort(row, kind="stable")
             start, count = _text.spans(row[order], len(v))
@@ -312,7 +314,6 @@ def _fit(rows: pa.Table, label: LabelModel, rounds: int = 120, l2: float = 1e-4)
     if not rows.num_rows:
         return w, -10.0
     rows = rows.combine_chunks()
-    order = np.argsort(rows["pattern"].to_numpy(), kind="stable")
     y = label.posterior(unpack(rows["pattern"].to_numpy()))
     lists = rows["feature"].chunk(0)
     size = np.asarray(lists.value_lengths()).astype(np.int64)
@@ -322,7 +323,6 @@ def _fit(rows: pa.Table, label: LabelModel, rounds: int = 120, l2: float = 1e-4)
     x = np.zeros(len(used))
     m, s = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     balance = np.where(y >= 0.5, 0.5 / max(1e-9, (y >= 0.5).sum()), 0.5 / max(1e-9, (y < 0.5).sum()))
-    del order
     for t in range(1, rounds + 1):
         z = np.bincount(owner, x[small] * value, len(size)) + bias
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * balance
@@ -336,10 +336,6 @@ def _fit(rows: pa.Table, label: LabelModel, rounds: int = 120, l2: float = 1e-4)
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and ``__toxic_score``; null for a null text, low for one without a word."""
-    schema = f"{docs.schema.simpleString()[7:-1]}"
-    del schema
-    from pyspark.sql import types as T
-
     at = docs.columns.index(text)
     lex, weights, bias = model.lexicons, model.weights, model.bias
     used = np.flatnonzero(weights)
@@ -348,7 +344,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((1 << DIM_BITS) + 9)
         w[used] = kept
-        for batch in batches:
+        for batch in _text.pieces(batches, at):
             col = batch.column(at)
             _, row, feature, value, count = _features(col, lex)
             z = np.bincount(row, w[feature] * value, len(col)) + bias
