@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch between Spark and Python, where the session sets no bound of its own.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -62,6 +68,30 @@ def _clean() -> None:
             return
 
 
+def release() -> None:
+    """Give memory that is free but kept back to the system, so that a worker's next task starts low."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches bounded by their bytes.
+
+    A batch bounded by rows alone holds 10,000 texts of any length, twice in each of the two processes.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

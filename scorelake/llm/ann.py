@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import require, staged
+from scorelake.llm._common import mapped, require, staged
 
 NEIGHBOURS, THRESHOLD, ROUNDS, BLOCK, MARGIN = 10, 0.2, 6, 32_768, 3.0
 
@@ -108,7 +108,7 @@ def train(rows: DataFrame, dim: int, rounds: int = ROUNDS) -> np.ndarray:
                             total[j, :, w] += np.bincount(codes[:, j], both[:, j, w], 16)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], ["i", "x"])
 
-        got = rows.select("v").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy().reshape(m, 16, wide)
+        got = mapped(rows.select("v"), sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")["x"].to_numpy().reshape(m, 16, wide)
         new = centres.astype(float)
         for j in range(m):
             for c in range(16):
@@ -201,7 +201,7 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
                 [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in pack(codes)], pa.binary()), pa.array((MARGIN * off / np.sqrt(dim)).astype(np.float32))], ["vec_id", "v", "codes", "spread"]
             )
 
-    coded = staged(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, v array<float>, codes binary, spread float").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "codes")
+    coded = staged(mapped(rows.select("vec_id", "v"), code, "vec_id long, v array<float>, codes binary, spread float").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))), "codes")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = coded.select("vec_id", "v", F.col("block").cast("int").alias("qb"), F.explode(every).alias("cb"))
     right = coded.select("vec_id", "v", "codes", "spread", F.explode(every).alias("qb"), F.col("block").cast("int").alias("cb"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import _text
-from scorelake.llm._common import require, staged
+from scorelake.llm._common import mapped, require, staged
 from scorelake.llm.graph import components
 
 SHINGLE, HASHES, BITS, BANDS, THRESHOLD = 3, 126, 2, 42, 0.45
@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             )
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    return narrow.mapInArrow(run, "doc_id long, shingles long, same long, sig binary, bands array<long>")
+    return mapped(narrow, run, "doc_id long, shingles long, same long, sig binary, bands array<long>")
 
 
 def bucket_edges(nodes: np.ndarray, sigs: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -152,7 +152,7 @@ def edges(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 a, b, sim = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
 
-    found = buckets.mapInArrow(run, "a long, b long, similarity double").filter("a != b")
+    found = mapped(buckets, run, "a long, b long, similarity double").filter("a != b")
     return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.llm import _text
-from scorelake.llm._common import require, share, staged
+from scorelake.llm._common import mapped, require, share, staged
 
 #: Bound of the labelled sample that the classifier is fitted on.
 LABEL_ROWS = 3_000
@@ -89,7 +89,7 @@ def train_domains(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS, ro
             cuts = pa.array(np.concatenate([start, [len(row)]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(cuts, pa.array(feature.astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(value.astype(np.float32)))], ["domain", "feature", "value"])
 
-    found = named.mapInArrow(run, "domain string, feature array<int>, value array<float>").toArrow()
+    found = mapped(named, run, "domain string, feature array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return Domains(["all"], np.zeros((1 << DIM_BITS, 1)), np.zeros(1))
     found = found.combine_chunks()
@@ -127,7 +127,7 @@ def posteriors(docs: DataFrame, model: Domains) -> DataFrame:
             cuts = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), pa.ListArray.from_arrays(cuts, pa.array(p.reshape(-1)))], ["doc_id", "n_tokens", "posterior"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_tokens long, posterior array<double>")
 
 
 def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +152,7 @@ def _sums(table: DataFrame, k: int, steps: list[np.ndarray], moments: bool) -> n
                 total[k:] += (p * tokens[:, None]).T.dot(p).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
 
-    parts = table.select("n_tokens", "posterior").mapInArrow(run, "x array<double>")
+    parts = mapped(table.select("n_tokens", "posterior"), run, "x array<double>")
     row = parts.agg(*(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(width))).first()
     return np.array([v or 0.0 for v in row])
 
@@ -197,7 +197,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
             domain = pa.DictionaryArray.from_arrays(pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(names)).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), domain, batch.column(2), pa.array(rates_of(p, steps))], ["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
-    return table.select("doc_id", "n_tokens", "posterior").mapInArrow(run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
+    return mapped(table.select("doc_id", "n_tokens", "posterior"), run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -216,7 +216,7 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
             p, _ = model.posterior(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], [*batch.schema.names, "__rate"])
 
-    rated = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
+    rated = mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     times = F.floor(F.col("__rate") + dice).cast("int")
     return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).drop("__rate", "__copy")

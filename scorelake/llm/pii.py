@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorelake.llm._common import require
+from scorelake.llm._common import mapped, require
 
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _DIGIT = frozenset("0123456789")
@@ -293,7 +293,7 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "kind", "start", "end", "value"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, kind string, start long, end long, value string")
+    return mapped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, kind string, start long, end long, value string")
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -314,4 +314,4 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
                     cols[measure] = pa.array([n if a is b else len(b) for n, a, b in zip(sizes, old, new)], cols[measure].type)
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))
+    return mapped(docs, run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields]))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import require, share
+from scorelake.llm._common import mapped, require, share
 
 #: Bound of the labelled findings that the forest is fitted on.
 TRAIN_ROWS = 20_000
@@ -317,4 +317,4 @@ def scan(docs: DataFrame, forest: Forest | None = None, key: str = "doc_id", tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept), kinds)], ["doc_id", "kind", "start", "end", "preview", "fingerprint", "score"])
 
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), where.alias("path"))
-    return narrow.mapInArrow(run, "doc_id long, kind string, start long, end long, preview string, fingerprint string, score double")
+    return mapped(narrow, run, "doc_id long, kind string, start long, end long, preview string, fingerprint string, score double")

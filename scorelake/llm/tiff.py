@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import require
+from scorelake.llm._common import mapped, require
 
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _FORM = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -317,7 +317,7 @@ def pages(media: DataFrame, key: str, data: str) -> DataFrame:
     def _batch(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in fields], [c for c, _ in fields])
 
-    return media.select(F.col(key).cast("long").alias("key"), F.col(data).alias("data")).mapInArrow(run, SCHEMA)
+    return mapped(media.select(F.col(key).cast("long").alias("key"), F.col(data).alias("data")), run, SCHEMA)
 
 
 def from_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", width: int = 8) -> DataFrame:
@@ -347,4 +347,4 @@ def from_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
             made = [None if not v or any(e is None for e in v) else one(v) for v in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "data"])
 
-    return vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "key long, data binary")
+    return mapped(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<float>").alias("v")), run, "key long, data binary")

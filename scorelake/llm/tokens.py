@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import require
+from scorelake.llm._common import mapped, require
 
 #: Rank file of a public byte-level BPE; the path is a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -176,7 +176,7 @@ def prefix_table(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
         total = pa.array([None if p is None else (int(p[-1]) if len(p) else 0) for p in parts], pa.int64())
         return pa.RecordBatch.from_arrays([ids, total, lists], ["doc_id", "n_tokens", "changes"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, changes array<int>")
+    return mapped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_tokens long, changes array<int>")
 
 
 def tokens_at(changes: Column | str, chars: Column | int) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.llm import _text
-from scorelake.llm._common import require, share, staged
+from scorelake.llm._common import mapped, require, share, staged
 
 #: Bounds of the samples that models are fitted on; everything else covers all rows.
 LABEL_ROWS, TRAIN_ROWS = 20_000, 6_000
@@ -82,7 +82,7 @@ def mine_terms(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS, least
                 ["kind", "term", "toxic", "sketch"],
             )
 
-    seen = joined.mapInArrow(run, "kind byte, term long, toxic int, sketch long").distinct()
+    seen = mapped(joined, run, "kind byte, term long, toxic int, sketch long").distinct()
     counts = seen.groupBy("kind", "term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     sizes = known.groupBy("toxic").count().collect()
     n = {r["toxic"]: max(1, r["count"]) for r in sizes} | {}
@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trai
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_pack(v))], ["doc_id", "pattern"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    voted = staged(narrow.mapInArrow(vote, "doc_id long, pattern long"), "votes")
+    voted = staged(mapped(narrow, vote, "doc_id long, pattern long"), "votes")
     histogram = voted.groupBy("pattern").count().toPandas().sort_values("pattern")
     v, weight = unpack(histogram["pattern"].to_numpy(np.int64)), histogram["count"].to_numpy(float)
     label = LabelModel().fit(v, weight) if len(v) else LabelModel(rounds=1).fit(np.zeros((1, len(VOTERS)), np.int64), np.ones(1))
@@ -303,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS, trai
                 ["pattern", "feature", "value"],
             )
 
-    rows = narrow.join(F.broadcast(chosen), "doc_id", "left_semi").select("text").mapInArrow(features, "pattern long, feature array<int>, value array<float>").toArrow()
+    rows = mapped(narrow.join(F.broadcast(chosen), "doc_id", "left_semi").select("text"), features, "pattern long, feature array<int>, value array<float>").toArrow()
     weights, bias = _fit(rows, label)
     return Model(lex, label, weights, bias)
 
@@ -352,7 +352,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             null = np.asarray(col.is_null())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, mask=null)], [*batch.schema.names, "__toxic_score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

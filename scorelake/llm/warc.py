@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import discard, shared_dir, staged
+from scorelake.llm._common import discard, mapped, shared_dir, staged
 
 SPLIT, LOOK = 8 << 20, 1 << 16
 MOST_HEADER = 1 << 20
@@ -105,7 +105,7 @@ def links(ranges: DataFrame, size: int = SPLIT) -> DataFrame:
                 rows = [pa.array([x], t) for x, t in ((path, pa.string()), (total, pa.int64()), (start, pa.int64()), (at, pa.list_(pa.int64())), (nexts, pa.list_(pa.int64())), (exits, pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays(rows, ["path", "size", "start", "at", "next", "exit"])
 
-    return ranges.mapInArrow(run, "path string, size long, start long, at array<long>, next array<long>, exit array<long>")
+    return mapped(ranges, run, "path string, size long, start long, at array<long>, next array<long>, exit array<long>")
 
 
 def reached(found: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def records(files: DataFrame, size: int = SPLIT) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["path", "offset", "type", "record_id", "uri", "date", "payload"])
 
-    return chosen.mapInArrow(run, "path string, offset long, type string, record_id string, uri string, date string, payload binary")
+    return mapped(chosen, run, "path string, offset long, type string, record_id string, uri string, date string, payload binary")
 
 
 def record(kind: str, record_id: str | None, uri: str | None, payload: bytes, date: str = "2020-01-01T00:00:00Z") -> bytes:
@@ -211,7 +211,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
             done.append((f"{folder}/{target}", size))
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], ["path", "size"])
 
-    return staged(pages.select(F.col(key), F.col(url), F.col(html)).mapInArrow(run, "path string, size long"), "manifest")
+    return staged(mapped(pages.select(F.col(key), F.col(url), F.col(html)), run, "path string, size long"), "manifest")
 
 
 def folder_of(spark: SparkSession, name: str) -> str:
