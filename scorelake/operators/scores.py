@@ -146,8 +146,8 @@ def quartiles(long: DataFrame) -> DataFrame:
     return p.select("metric", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q2"), F.col("p")[2].alias("q3"))
 
 
-def preview(df: DataFrame, order: Column | str, rows: int = 20, metrics: int = 15, key: Sequence[str] = ("key",)) -> DataFrame:
-    """The first rows with the first metrics by name: a report, so it is limited."""
+def preview(df: DataFrame, order: Column | str | Sequence[str], rows: int = 20, metrics: int = 15, key: Sequence[str] = ("key",)) -> DataFrame:
+    """The first rows with the first metrics by name: a report, so it is limited. Rows that tie in ``order`` come in any order."""
     return df.orderBy(order).limit(rows).select(*key, *numeric_columns(df, key)[:metrics])
 
 

@@ -53,12 +53,15 @@ def _translations(compat: bool) -> list[tuple[str, str]]:
 
 
 def translate(text: Column, compat: bool = False) -> Column:
-    """The text in English as far as the table goes: a whole match ends it, parts are replaced one after another."""
+    """The text in English as far as the table goes: parts are replaced one after another; spaces around a whole match go.
+
+    Each step names the one before once, so the expression grows with the table and not with its power.
+    """
     out = text
     for foreign, english in _translations(compat):
-        hit = F.trim(out) == foreign
-        out = F.when(hit, F.lit(english)).otherwise(F.replace(out, F.lit(foreign), F.lit(english)))
-    return out
+        out = F.replace(out, F.lit(foreign), F.lit(english))
+    whole = (out != text) & F.trim(out).isin(*TRANSLATION.values())
+    return F.when(whole, F.trim(out)).otherwise(out)
 
 
 def _has(low: Column, term: str, compat: bool) -> Column:
@@ -87,7 +90,11 @@ def _closest(low: Column, terms: list[str], compat: bool) -> Column:
 
 def standardize(kind: str, text: Column, compat: bool = False) -> Column:
     """The vocabulary's term for an answer, as text; a kind without a vocabulary is only translated. Null stays null."""
-    english = translate(text, compat)
+    # bound once: the rules below name the translation many times
+    return F.transform(F.array(translate(text, compat)), lambda e: _standard(kind, e, compat))[0]
+
+
+def _standard(kind: str, english: Column, compat: bool) -> Column:
     low = F.lower(english)
     if kind == NUMERIC:
         digits = F.regexp_extract(english, r"(\d+)", 1)
@@ -104,14 +111,14 @@ def standardize(kind: str, text: Column, compat: bool = False) -> Column:
         out = F.coalesce(F.when(_has(low, "no overlap", compat), "No overlap"), _first(low, VOCABULARY[kind], compat), F.lit("No overlap"))
     else:
         out = F.coalesce(_first(low, VOCABULARY[kind], compat), _closest(low, VOCABULARY[kind], compat))
-    return F.when(text.isNotNull(), out)
+    return F.when(english.isNotNull(), out)
 
 
 def clean_answer(text: Column) -> Column:
     """A language model's answer without the openings it likes, in their order."""
     out = F.trim(text)
     for p in ANSWER_PREFIXES:
-        out = F.when(out.startswith(p), F.trim(F.substring(out, len(p) + 1, 1 << 30))).otherwise(out)
+        out = F.regexp_replace(out, rf"^\Q{p}\E *", "")
     return out
 
 

@@ -178,9 +178,9 @@ def score_quartiles(spark, d):
     return rounded(scores.quartiles(events(spark, d)), "q1", "q2", "q3")
 
 
-@query(f"SELECT key, asvspoof_score, espnet_wer_delete, mcd, pesq, spk_similarity FROM ({_WIDE_SQL}) ORDER BY key LIMIT 20")
+@query(f"SELECT key, asvspoof_score, espnet_wer_delete, mcd, pesq, spk_similarity FROM ({_WIDE_SQL}) ORDER BY key, asvspoof_score, espnet_wer_delete, mcd, pesq, spk_similarity LIMIT 20")
 def score_preview(spark, d):
-    return scores.preview(wide(spark, d), "key")
+    return scores.preview(wide(spark, d), ["key", *sorted(WIDE)])
 
 
 @query(f"SELECT {naming.category_sql('metric')} AS category, metric, round(min(value), 6) AS low FROM ({_LONG_SQL}) GROUP BY 1, 2")
@@ -481,7 +481,7 @@ g AS (SELECT *, sum(CASE WHEN m IS NULL OR s - m >= 0.1 THEN 1 ELSE 0 END) OVER
 k AS (SELECT key, g, min(s) AS s, max(t) AS t FROM g GROUP BY 1, 2) SELECT key, round(greatest(0.0, s - 0.03), 4) AS start, round(t + 0.03, 4) AS "end" FROM k WHERE t - s >= 0.25""")
 def speech_segments(spark, d):
     e = table(spark, d, "events")
-    s = F.unix_micros("ts") / 1e6 / 600
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 600
     seg = e.select(F.col("user_id").alias("key"), s.alias("start"), (s + F.abs("value") / 100).alias("end"))
     return rounded(chunking.merged_segments(seg), "start", "end", digits=4)
 
