@@ -101,6 +101,14 @@ def share(column: str, rate: float):
     return F.pmod(F.xxhash64(F.col(column), F.lit("share")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it as long as a column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

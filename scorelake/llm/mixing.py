@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.llm import _text
-from scorelake.llm._common import mapped, require, share, staged
+from scorelake.llm._common import fresh, mapped, require, share, staged
 
 #: Bound of the labelled sample that the classifier is fitted on.
 LABEL_ROWS = 3_000
@@ -210,13 +210,14 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     table = staged(posteriors(docs, model), "posteriors")
     steps, _ = solve(table, _goal(model, targets))
     at = docs.columns.index("text")
+    rate, copy = fresh(docs, "__rate"), fresh(docs, "__copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches, at):
             p, _ = model.posterior(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], [*batch.schema.names, "__rate"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], [*batch.schema.names, rate])
 
-    rated = mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
+    rated = mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    times = F.floor(F.col("__rate") + dice).cast("int")
-    return rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times))).drop("__rate", "__copy")
+    times = F.floor(F.col(rate) + dice).cast("int")
+    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).drop(rate, copy)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake.llm import _text
-from scorelake.llm._common import mapped, require, share, staged
+from scorelake.llm._common import fresh, mapped, require, share, staged
 
 #: Bounds of the samples that models are fitted on; everything else covers all rows.
 LABEL_ROWS, TRAIN_ROWS = 20_000, 6_000
@@ -334,8 +334,8 @@ def _fit(rows: pa.Table, label: LabelModel, rounds: int = 120, l2: float = 1e-4)
     return w, float(bias)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``__toxic_score``; null for a null text, low for one without a word."""
+def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "__toxic_score") -> DataFrame:
+    """All columns of ``docs`` and the score as ``name``; null for a null text, low for one without a word."""
     at = docs.columns.index(text)
     lex, weights, bias = model.lexicons, model.weights, model.bias
     used = np.flatnonzero(weights)
@@ -350,9 +350,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             z = np.bincount(row, w[feature] * value, len(col)) + bias
             score = np.where(count > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
             null = np.asarray(col.is_null())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, mask=null)], [*batch.schema.names, "__toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, mask=null)], [*batch.schema.names, name])
 
-    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField("__toxic_score", T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -368,4 +368,5 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that aren't toxic, with their columns as they were."""
     model = train(docs, labels)
-    return predict(docs, model).filter(F.coalesce(F.col("__toxic_score") < threshold, F.lit(True))).drop("__toxic_score")
+    name = fresh(docs, "__toxic_score")
+    return predict(docs, model, name=name).filter(F.coalesce(F.col(name) < threshold, F.lit(True))).drop(name)
