@@ -71,7 +71,7 @@ def email_at(text: str, at: int) -> tuple[int, int] | None:
 
 
 def url_login_at(text: str, at: int) -> tuple[int, int] | None:
-    """user:password@ of a URL whose '://' begins at ``at``; the scheme and the host stay."""
+    """user:password of a URL whose '://' begins at ``at``; the scheme, the at-sign and the host stay."""
     lo = at + 3
     hi = lo
     while hi < len(text) and hi - lo < 256 and not text[hi].isspace() and text[hi] not in "/?#@\"'<>":

@@ -120,8 +120,8 @@ def reached(found: DataFrame) -> DataFrame:
         step = here.join(jump, ["path", "at"]).filter("to is not null").select("path", F.col("to").alias("at")).join(jump.select("path", "at"), ["path", "at"], "left_semi")
         new = staged(here.union(step).distinct(), "reach")
         now = new.count()
-        far = jump.select("path", F.col("at").alias("mid"), F.col("to").alias("end"))
-        double = staged(jump.join(far, (jump["path"] == far["path"]) & (jump["to"] == far["mid"]), "left").select(jump["path"], jump["at"], F.col("end").alias("to")), "jump")
+        far = jump.select("path", F.col("at").alias("to"), F.col("to").alias("end"))
+        double = staged(jump.join(far, ["path", "to"], "left").select("path", "at", F.col("end").alias("to")), "jump")
         discard(jump)
         discard(here)
         here, jump = new, double
