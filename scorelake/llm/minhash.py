@@ -39,20 +39,20 @@ def minima(col, width: int = SHINGLE, hashes: int = HASHES) -> tuple[np.ndarray,
     out = np.full((n, hashes), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(count)
     a, b = _seeds(hashes)
+    starts, ends = start[some], start[some] + count[some]
     at = 0
     while at < len(some):
-        # rows of about a block's shingles together, so that each pass stays in the cache
-        to = at + max(1, int(np.searchsorted(start[some[at:]], start[some[at]] + _BLOCK, "left")))
+        # rows of about a block's shingles together, so that each pass stays in the cache; a row that
+        # ends further than 8 blocks on isn't among them: a group by itself, it is read part by part
+        near = min(np.searchsorted(starts, starts[at] + _BLOCK, "left"), np.searchsorted(ends, starts[at] + _BLOCK * 8, "right"))
+        to = max(at + 1, int(near))
         group = some[at:to]
-        lo, hi = start[group[0]], start[group[-1]] + count[group[-1]]
-        for p in range(lo, hi, _BLOCK * 8):
-            part = x[p : min(hi, p + _BLOCK * 8)]
-            cuts = start[group] - p if len(group) > 1 else np.zeros(1, np.int64)
+        for p in range(starts[at], ends[to - 1], _BLOCK * 8):
+            part = x[p : min(ends[to - 1], p + _BLOCK * 8)]
+            cuts = starts[at:to] - p if len(group) > 1 else np.zeros(1, np.int64)
             for k in range(hashes):
                 low = np.minimum.reduceat(part * a[k] + b[k], cuts)
                 out[group, k] = np.minimum(out[group, k], low)
-            if len(group) > 1:
-                break
         at = to
     return out, count
 

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +233,14 @@ def test_pipeline(spark):
     assert packed.count() == docs.count()
     load = packed.groupBy("bucket_len", "batch").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * F.col("bucket_len") > F.greatest(F.lit(packing.BUDGET), F.col("bucket_len")))
     assert load.count() == 0
+
+
+def test_minima_read_a_long_text_whole_behind_any_row():
+    words = np.random.default_rng(2).integers(0, 36**3, 200_000)
+    long = " ".join(np.base_repr(w, 36).lower() for w in words)
+    alone = minhash.minima(pa.array([long]))[0][0]
+    for before in (["a short row"], ["one", "", "two words"], ["word " * 16_000]):
+        low, count = minhash.minima(pa.array([*before, long, "after it"]))
+        assert count[len(before)] == 199_998
+        assert (low[len(before)] == alone).all()
+        assert (low[-1] == minhash.minima(pa.array(["after it"]))[0][0]).all()
