@@ -39,7 +39,7 @@ PROVIDERS = re.compile(
 )
 #: Every match of PROVIDERS holds one of these, and looking for them is much cheaper.
 _LITERALS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
-_NAME = re.compile(r"\b" + "(?i:" + _KEYS + r")\w{0,20}[\"']?\s{0,3}$")
+_NAME = re.compile("(?i:" + _KEYS + ")")
 _VALUE = re.compile(r"(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'<>,;]{6,200})")
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,199}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}")
 _SIGN = re.compile("[:=]")
@@ -123,6 +123,19 @@ def features(value: str, before: str, after: str, path: str | None, kind: str) -
     ]
 
 
+def _named(text: str, at: int) -> bool:
+    """Whether the name before the sign at ``at`` holds a keyword anywhere (DB_PASSWORD, userPassword, refresh-token)."""
+    hi = at
+    while hi and at - hi < 3 and text[hi - 1].isspace():
+        hi -= 1
+    if hi and text[hi - 1] in "\"'":
+        hi -= 1
+    lo = hi
+    while lo and (text[lo - 1].isalnum() or text[lo - 1] in "_.-"):
+        lo -= 1
+    return bool(_NAME.search(text, lo, hi))
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every candidate, in text order; a null or empty text has none.
 
@@ -138,7 +151,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
         for m in _SIGN.finditer(text):
             at = m.start()
             value = _VALUE.match(text, at)
-            if value and _NAME.search(text[max(0, at - 64) : at]):
+            if value and _named(text, at):
                 found.append(("assigned", *value.span(1)))
     if max(map(len, text.split()), default=0) >= 24:
         found += [("bare", *m.span()) for m in _BARE.finditer(text)]

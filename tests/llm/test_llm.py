@@ -244,3 +244,15 @@ def test_minima_read_a_long_text_whole_behind_any_row():
         assert count[len(before)] == 199_998
         assert (low[len(before)] == alone).all()
         assert (low[-1] == minhash.minima(pa.array(["after it"]))[0][0]).all()
+
+
+def test_secrets_of_any_name_are_proposed_and_found(spark):
+    for name in ("DB_PASSWORD=", "github_token: ", "AWS_SECRET_ACCESS_KEY=", "refresh_token = ", "userPassword: '", "accessToken=", "spring.datasource.password=", '"x-api-key": "', "a" * 80 + "_token_" + "b" * 80 + "="):
+        assert [(k, (name + "hunter-xyz")[s:e]) for k, s, e in secrets.candidates(name + "hunter-xyz")] == [("assigned", "hunter-xyz")], name
+    assert secrets.candidates("the name: somebody") == []
+    positive = [f for f in secrets.labelled_findings(2000, 3) if f[4]]
+    docs = spark.createDataFrame([(i, b + v + a, p) for i, (v, b, a, p, _) in enumerate(positive)], "doc_id long, text string, source string")
+    for v, b, a, _, _ in positive:
+        assert (secrets.kind_of(v, b), len(b), len(b) + len(v)) in secrets.candidates(b + v + a), (b, v, a)
+    got = {(r["doc_id"], r["start"], r["end"]) for r in secrets.scan(docs).collect()}
+    assert np.mean([(i, len(b), len(b) + len(v)) in got for i, (v, b, _, _, _) in enumerate(positive)]) > 0.95
