@@ -23,7 +23,7 @@ _LOCAL = _ALNUM | frozenset("._%+-'")
 _DOMAIN = _ALNUM | frozenset(".-")
 _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 CUES = ("ssn", "iban", "passport", "tel", "phone", "mobile", "fax", "account", "acct")
-#: Overlapping findings: the kind that comes first here wins, then the longer, then the earlier one.
+#: Overlapping findings: the kind that comes first here wins, then a card in its usual groups, the longer, the earlier one.
 KINDS = ("url_login", "email", "iban", "card", "ssn", "ip", "phone", "account")
 
 
@@ -109,21 +109,37 @@ def _digits(text: str, at: int, most: int) -> tuple[int, int, str]:
     return lo, hi, "".join(c for c in text[lo:hi] if c in _DIGIT)
 
 
-def card_at(text: str, at: int) -> tuple[int, int] | None:
-    """The card number around a digit: 13 to 19 digits, known first digit, valid check digit.
+def _card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits)
 
-    Where groups of one run make no card together, its solid groups are tried alone.
+
+def cards_at(text: str, at: int) -> list[tuple[int, int]]:
+    """Card numbers around the digit at ``at``, where a group begins: 13 to 19 digits, known first digit, valid check digit.
+
+    The whole run of groups is tried, and every span of whole groups that begins with this one, since an
+    expiry date, a check number or another card may stand next to a card. Groups inside such a span
+    have 3 digits at least, and the first 4: columns of small numbers make no card.
     """
     lo, hi, digits = _digits(text, at, 19)
-    if 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and _edge(text, lo, hi):
-        return lo, hi
-    lo, hi = at, at
-    while lo > 0 and at - lo < 20 and text[lo - 1] in _DIGIT:
-        lo -= 1
-    while hi < len(text) and hi - at < 20 and text[hi] in _DIGIT:
+    found = [(lo, hi)] if _card(digits) and _edge(text, lo, hi) else []
+    hi, digits = at, ""
+    while len(digits) <= 19:
+        size = 0
+        while size < 20 and hi + size < len(text) and text[hi + size] in _DIGIT:
+            size += 1
+        digits += text[hi : hi + size]
+        hi += size
+        if _card(digits) and _edge(text, at, hi):
+            found.append((at, hi))
+        if size < (3 if len(digits) > size else 4) or not (hi + 1 < len(text) and text[hi] in " -" and text[hi + 1] in _DIGIT):
+            break
         hi += 1
-    digits = text[lo:hi]
-    return (lo, hi) if 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits) and _edge(text, lo, hi) else None
+    return found
+
+
+def _printed(value: str) -> bool:
+    """Whether a card's groups are as issuers print them."""
+    return [len(g) for g in value.replace("-", " ").split()] in ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [len(value)])
 
 
 def ssn_at(text: str, at: int) -> tuple[int, int] | None:
@@ -239,7 +255,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             solid = last
             while solid + 1 < len(text) and text[solid + 1] in _DIGIT:
                 solid += 1
-            add("card", card_at(text, lo))
+            for found in cards_at(text, lo):
+                add("card", found)
             add("ssn", ssn_at(text, lo))
             add("iban", iban_at(text, lo))
         elif what == "d.":
@@ -259,7 +276,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     from bisect import bisect_left, insort
 
     by_start: list[tuple[int, int]] = []
-    for kind, s, e in sorted(out, key=lambda x: (KINDS.index(x[0]), x[1] - x[2], x[1])):
+    for kind, s, e in sorted(out, key=lambda x: (KINDS.index(x[0]), x[0] == "card" and not _printed(text[x[1] : x[2]]), x[1] - x[2], x[1])):
         i = bisect_left(by_start, (s, e))
         if (i and by_start[i - 1][1] > s) or (i < len(by_start) and by_start[i][0] < e):
             continue

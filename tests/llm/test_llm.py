@@ -256,3 +256,16 @@ def test_secrets_of_any_name_are_proposed_and_found(spark):
         assert (secrets.kind_of(v, b), len(b), len(b) + len(v)) in secrets.candidates(b + v + a), (b, v, a)
     got = {(r["doc_id"], r["start"], r["end"]) for r in secrets.scan(docs).collect()}
     assert np.mean([(i, len(b), len(b) + len(v)) in got for i, (v, b, _, _, _) in enumerate(positive)]) > 0.95
+
+
+def test_cards_next_to_other_numbers():
+    card = "4111 1111 1111 1111"
+    found = lambda t: [t[s:e] for k, s, e in pii.find(t) if k == "card"]
+    for text in (f"{card} 12/26", f"{card} 123", f"2 {card}", f"12 {card} 12 26", f"no. 7 {card}-123 x", f"3 17 2024 {card} 5 6 7 8 9 10 11 12 13 14 15 16 17"):
+        assert found(text) == [card], text
+    assert found("2 4111-1111-1111-1111") == ["4111-1111-1111-1111"]
+    assert found("3782 822463 10005 1234") == ["3782 822463 10005"]
+    assert found(f"{card} 5500 0000 0000 0004") == [card, "5500 0000 0000 0004"]
+    assert found("4111111111111111 5500000000000004") == ["4111111111111111", "5500000000000004"]
+    assert found("41 11 11 11 11 11 11 11 12") == [] and found("x4111 1111 1111 1111") == []
+    assert pii.redacted(f"pay {card} 12/26") == "pay <CARD> 12/26"
