@@ -22,6 +22,9 @@ _DIGIT = frozenset("0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-'")
 _DOMAIN = _ALNUM | frozenset(".-")
 _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LETTER = _ALNUM - _DIGIT
+#: Words between a cue and its value, and the ends of cues such as 'telephone'.
+_FILL = frozenset(("no", "number", "nr", "num", "is", "s", "ephone", "e", "ph"))
 CUES = ("ssn", "iban", "passport", "tel", "phone", "mobile", "fax", "account", "acct")
 #: Overlapping findings: the kind that comes first here wins, then a card in its usual groups, the longer, the earlier one.
 KINDS = ("url_login", "email", "iban", "card", "ssn", "ip", "phone", "account")
@@ -56,18 +59,20 @@ def email_at(text: str, at: int) -> tuple[int, int] | None:
     lo = at
     while lo > 0 and at - lo < 64 and text[lo - 1] in _LOCAL:
         lo -= 1
+    dots = text.rfind("..", lo, at)
+    lo = dots + 2 if dots >= 0 else lo
     while lo < at and text[lo] in ".-'%+":
         lo += 1
     local = text[lo:at]
     hi = at + 1
     while hi < len(text) and hi - at < 255 and text[hi] in _DOMAIN:
         hi += 1
-    while hi > at + 1 and text[hi - 1] in ".-":
-        hi -= 1
-    if not local or local[-1] == "." or ".." in local:
+    if not local or local[-1] == ".":
         return None
-    # prose that goes on without a space ("a@b.com.The end") ends at the longest host that is valid
-    return (lo, hi) if _host(text[at + 1 : hi]) else None
+    # prose that goes on without a space ("a@b.com.2 of them") ends at the longest host that is valid
+    while hi > at + 1 and not _host(text[at + 1 : hi]):
+        hi = max(text.rfind(".", at + 1, hi), text.rfind("-", at + 1, hi))
+    return (lo, hi) if hi > at + 1 else None
 
 
 def url_login_at(text: str, at: int) -> tuple[int, int] | None:
@@ -142,18 +147,32 @@ def _printed(value: str) -> bool:
     return [len(g) for g in value.replace("-", " ").split()] in ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [len(value)])
 
 
-def ssn_at(text: str, at: int) -> tuple[int, int] | None:
-    """ddd-dd-dddd around a digit, without numbers that are never given out."""
+def _ssn(digits: str) -> bool:
+    """Nine digits that aren't among the numbers that are never given out."""
+    return not (digits[:3] in ("000", "666") or digits[0] == "9" or digits[3:5] == "00" or digits[5:] == "0000")
+
+
+def ssn_at(text: str, at: int, cued: bool = False) -> tuple[int, int] | None:
+    """ddd-dd-dddd around a digit, without numbers that are never given out; behind a cue the number begins at ``at``, and its groups may be parted by a space, hyphen or dot or not at all."""
     lo = at
-    while lo > 0 and at - lo < 11 and (text[lo - 1] in _DIGIT or text[lo - 1] == "-"):
-        lo -= 1
-    v = text[lo : lo + 11]
-    if len(v) < 11 or v[3] != "-" or v[6] != "-" or not (v[:3] + v[4:6] + v[7:]).isdecimal() or not v.isascii():
-        return None
-    if v[:3] in ("000", "666") or v[0] == "9" or v[4:6] == "00" or v[7:] == "0000":
-        return None
-    hi = lo + 11
-    return (lo, hi) if _edge(text, lo, hi) and not (hi < len(text) and text[hi] == "-") else None
+    if cued:
+        hi, digits = at, ""
+        while hi < len(text) and len(digits) < 9:
+            if text[hi] in _DIGIT:
+                digits += text[hi]
+            elif not (len(digits) in (3, 5) and text[hi] in " -." and text[hi - 1] in _DIGIT):
+                return None
+            hi += 1
+        if len(digits) < 9:
+            return None
+    else:
+        while lo > 0 and at - lo < 11 and (text[lo - 1] in _DIGIT or text[lo - 1] == "-"):
+            lo -= 1
+        v = text[lo : lo + 11]
+        if len(v) < 11 or v[3] != "-" or v[6] != "-" or not (v[:3] + v[4:6] + v[7:]).isdecimal() or not v.isascii():
+            return None
+        hi, digits = lo + 11, v[:3] + v[4:6] + v[7:]
+    return (lo, hi) if _ssn(digits) and _edge(text, lo, hi) and not (hi < len(text) and text[hi] == "-") else None
 
 
 def phone_at(text: str, at: int) -> tuple[int, int] | None:
@@ -172,44 +191,76 @@ def phone_at(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if digits >= least and _edge(text, at, end) else None
 
 
-def iban_at(text: str, at: int) -> tuple[int, int] | None:
-    """The IBAN whose two check digits begin at ``at``."""
+def iban_at(text: str, at: int, cued: bool = False) -> tuple[int, int] | None:
+    """The IBAN whose two check digits begin at ``at``; behind a cue also in small letters and with hyphens."""
+    letters, signs, gaps = (_LETTER, _ALNUM, " -") if cued else (_UPPER, _UPPER | _DIGIT, " ")
     lo = at - 2
-    if lo < 0 or text[lo] not in _UPPER or text[lo + 1] not in _UPPER or (lo > 0 and text[lo - 1].isalnum()):
+    if lo < 0 or text[lo] not in letters or text[lo + 1] not in letters or (lo > 0 and text[lo - 1].isalnum()):
         return None
     hi, chars, best = at + 2, text[lo : at + 2], None
+    if cued and not (len(chars) == 4 and chars[2] in _DIGIT and chars[3] in _DIGIT):
+        return None
     while hi < len(text) and len(chars) < 34:
-        if text[hi] in _UPPER or text[hi] in _DIGIT:
+        if text[hi] in signs:
             chars += text[hi]
-        elif not (text[hi] == " " and hi + 1 < len(text) and (text[hi + 1] in _UPPER or text[hi + 1] in _DIGIT)):
+        elif not (text[hi] in gaps and hi + 1 < len(text) and text[hi + 1] in signs):
             break
         hi += 1
-        if len(chars) >= 15 and _edge(text, lo, hi):
+        if len(chars) >= 15 and text[hi - 1] in signs and _edge(text, lo, hi):
             if int("".join(str(int(c, 36)) for c in chars[4:] + chars[:4])) % 97 == 1:
                 best = (lo, hi)
     return best
 
 
+def passport_at(text: str, at: int) -> tuple[int, int] | None:
+    """The number of 6 to 12 letters and digits that begins at ``at``, up to 3 leading letters parted from it or not.
+
+    It has 2 digits at least; small letters, as words have them, are taken for up to 3 letters beside 4 digits.
+    """
+    hi = at
+    while hi < len(text) and hi - at < 13 and text[hi] in _ALNUM:
+        hi += 1
+    if 1 <= hi - at <= 3 and text[at:hi].isalpha() and hi + 1 < len(text) and text[hi] in " -" and text[hi + 1] in _DIGIT:
+        hi += 1
+        while hi < len(text) and hi - at < 14 and text[hi] in _DIGIT:
+            hi += 1
+    v = text[at:hi].replace(" ", "").replace("-", "")
+    digits = sum(c in _DIGIT for c in v)
+    fits = 6 <= len(v) <= 12 and (digits >= 2 and v == v.upper() or digits >= 4 and len(v) - digits <= 3)
+    return (at, hi) if fits and _edge(text, at, hi) else None
+
+
 def cue_at(text: str, start: int, end: int, cue: str) -> tuple[str, int, int] | None:
-    """A number that a cue announces: after it come up to 12 characters of ' .:#=-' and 'no', then digits."""
+    """The value that a cue announces: after it come up to 14 characters of ' .:#=-' and words such as 'no', then the value."""
     if start > 0 and text[start - 1].isalpha():
         return None
     i = end
-    word = ""
-    while i < len(text) and i - end < 14 and (text[i].isalpha() and text[i].isascii() or text[i] in " .:#=-"):
-        word += text[i].lower()
-        i += 1
-    if i >= len(text) or not (text[i] in _DIGIT or text[i] == "+"):
-        return None
-    if set(word.replace(":", " ").replace(".", " ").replace("#", " ").replace("=", " ").replace("-", " ").split()) - {"no", "number", "nr", "num", "is", "s", "ephone", "e", "ph"}:
+    while i < len(text) and i - end < 14:
+        j = i
+        while j < len(text) and j - i < 14 and text[j] in _LETTER:
+            j += 1
+        if text[i] in " .:#=-":
+            i += 1
+        elif text[i:j].lower() in _FILL:
+            i = j
+        else:
+            break
+    if i >= len(text):
         return None
+    kind, found = "account", None
     if cue in ("tel", "phone", "mobile", "fax"):
-        found = phone_at(text, i)
-        return ("phone", *found) if found else None
-    if cue in ("account", "acct", "passport"):
+        opens = text[i] == "(" and i + 1 < len(text) and text[i + 1] in _DIGIT
+        kind, found = "phone", phone_at(text, i) if opens or text[i] == "+" or text[i] in _DIGIT else None
+    elif cue == "ssn":
+        kind, found = "ssn", ssn_at(text, i, True)
+    elif cue == "iban":
+        kind, found = "iban", iban_at(text, i + 2, True)
+    elif text[i] in _DIGIT:
         lo, hi, digits = _digits(text, i, 18)
-        return ("account", lo, hi) if lo == i and 6 <= len(digits) <= 18 and _edge(text, lo, hi) else None
-    return None
+        found = (lo, hi) if lo == i and 6 <= len(digits) <= 18 and _edge(text, lo, hi) else None
+    if cue == "passport" and not found:
+        found = passport_at(text, i)
+    return (kind, *found) if found else None
 
 
 def _automaton():

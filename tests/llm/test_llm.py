@@ -269,3 +269,27 @@ def test_cards_next_to_other_numbers():
     assert found("4111111111111111 5500000000000004") == ["4111111111111111", "5500000000000004"]
     assert found("41 11 11 11 11 11 11 11 12") == [] and found("x4111 1111 1111 1111") == []
     assert pii.redacted(f"pay {card} 12/26") == "pay <CARD> 12/26"
+
+
+def test_every_cue_announces_its_values():
+    found = lambda t: [(k, t[s:e]) for k, s, e in pii.find(t)]
+    for value in ("123456789", "123 45 6789", "123-45-6789", "123.45.6789"):
+        assert found(f"SSN: {value}.") == found(f"ssn no. {value}, x") == [("ssn", value)]
+    assert found("SSN 000456789") == found("SSN 1234567890") == found("SSN: 12 34 56 789") == []
+    for value in ("DE89370400440532013000", "de89 3704 0044 0532 0130 00", "DE89-3704-0044-0532-0130-00"):
+        assert found(f"IBAN: {value}, x") == [("iban", value)]
+    assert found("iban de89370400440532013001") == []
+    for value in ("AB123456", "C01X00T47", "AB 123456", "123456789", "ab123456"):
+        assert found(f"Passport No. {value}.") == found(f"passport {value}") == [("account", value)]
+    assert found("passport control 2024") == found("passport photos2024") == found("passport OFFICE") == []
+    for value in ("(555) 123-4567", "(030) 1234567", "555-123-4567"):
+        assert found(f"Phone: {value}") == found(f"Tel. {value} x") == found(f"telephone number {value}") == [("phone", value)]
+    assert found("phone (see 1234567)") == []
+
+
+def test_an_email_that_runs_into_prose():
+    found = lambda t: [t[s:e] for k, s, e in pii.find(t) if k == "email"]
+    assert found("to ann@site.com.2 of them") == ["ann@site.com"]
+    assert found("ann@site.com-2024, ann@site.org..x") == ["ann@site.com", "ann@site.org"]
+    assert found("write to...ann.lee@mail.example.com.") == ["ann.lee@mail.example.com"]
+    assert found("a@b a@b.c1 a.@site.com ..@site.com") == []
