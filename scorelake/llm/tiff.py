@@ -139,8 +139,12 @@ _DECODE[32946] = _DECODE[8]
 _ENCODE = {1: bytes, 5: lzw, 8: zlib.compress, 32773: packbits}
 
 
-def directories(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
-    """(byte order, tags of each image directory in chain order); a loop in the chain ends it."""
+def directories(data: bytes) -> tuple[str, Iterator[dict[int, tuple | None] | ValueError]]:
+    """(byte order, tags of each image directory in chain order, read one at a time); a loop in the chain ends it.
+
+    A tag whose values lie beyond the end is None. A directory that can't be read comes as an error
+    and ends the chain, since the next one's place isn't known.
+    """
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         raise ValueError("not a TIFF")
@@ -151,26 +155,33 @@ def directories(data: bytes) -> tuple[str, list[dict[int, tuple]]]:
         count, entry, offset, inline, at = "Q", 20, "Q", 8, struct.unpack_from(order + "Q", data, 8)[0]
     else:
         raise ValueError("not a TIFF")
-    out, seen = [], set()
-    while at and at not in seen:
-        seen.add(at)
-        n = struct.unpack_from(order + count, data, at)[0]
-        p = at + struct.calcsize(order + count)
-        tags = {}
-        for k in range(n):
-            q = p + k * entry
-            tag, kind = struct.unpack_from(order + "HH", data, q)
-            many = struct.unpack_from(order + offset, data, q + 4)[0]
-            if kind not in _FORM:
-                continue
-            size = _SIZE[kind] * many
-            where = q + 4 + inline if size <= inline else struct.unpack_from(order + offset, data, q + 4 + inline)[0]
-            if where + size > len(data):
-                raise ValueError("a tag's values lie beyond the end")
-            tags[tag] = struct.unpack_from(f"{order}{many}{_FORM[kind]}", data, where)
-        out.append(tags)
-        at = struct.unpack_from(order + offset, data, p + n * entry)[0]
-    return order, out
+
+    def chain(at: int) -> Iterator[dict[int, tuple | None] | ValueError]:
+        seen = set()
+        while at and at not in seen:
+            seen.add(at)
+            p = at + struct.calcsize(order + count)
+            n = struct.unpack_from(order + count, data, at)[0] if p <= len(data) else 0
+            if p > len(data) or p + n * entry > len(data):
+                yield ValueError("a directory lies beyond the end")
+                return
+            tags: dict[int, tuple | None] = {}
+            for q in range(p, p + n * entry, entry):
+                tag, kind = struct.unpack_from(order + "HH", data, q)
+                many = struct.unpack_from(order + offset, data, q + 4)[0]
+                if kind not in _FORM:
+                    continue
+                size = _SIZE[kind] * many
+                where = q + 4 + inline if size <= inline else struct.unpack_from(order + offset, data, q + 4 + inline)[0]
+                tags[tag] = struct.unpack_from(f"{order}{many}{_FORM[kind]}", data, where) if where + size <= len(data) else None
+            yield tags
+            p += n * entry
+            if p + struct.calcsize(order + offset) > len(data):
+                yield ValueError("the chain of directories is cut off")
+                return
+            at = struct.unpack_from(order + offset, data, p)[0]
+
+    return order, chain(at)
 
 
 def _undo(block: np.ndarray, predictor: int, raw: bytes, shape: tuple[int, int, int], size: int, order: str, dtype: np.dtype) -> np.ndarray:
@@ -186,8 +197,11 @@ def _undo(block: np.ndarray, predictor: int, raw: bytes, shape: tuple[int, int,
     return block
 
 
-def page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[dict, np.ndarray]:
+def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict, np.ndarray]:
     """(properties, samples as height x width x samples a pixel)."""
+    tiled = 322 in tags
+    if any(tags.get(t, ()) is None for t in (256, 257, 258, 259, 277, 284, 317, 339, *((322, 323, 324, 325) if tiled else (273, 278, 279)))):
+        raise ValueError("a tag's values lie beyond the end")
     one = lambda t, d=None: tags[t][0] if t in tags else d
     width, height = one(256), one(257)
     if not width or not height:
@@ -204,7 +218,6 @@ def page(data: bytes, order: str, tags: dict[int, tuple]) -> tuple[dict, np.ndar
         dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f', 4: 'u'}[form] }{bits // 8}")
     else:
         raise ValueError(f"{bits} bits a sample")
-    tiled = 322 in tags
     bw, bh = (one(322), one(323)) if tiled else (width, min(height, one(278, height)))
     offsets, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
     across, down = -(-width // bw), -(-height // bh)
@@ -283,7 +296,8 @@ def pages(media: DataFrame, key: str, data: str) -> DataFrame:
 
     A null value has no row. A value that isn't a TIFF has one row, with page -1 and the reason in
     ``error``; a page that can't be decoded has a row with its number and the reason, and the pages
-    after it are read. Repeated rows give their pages each time.
+    after it are read. Where the chain of pages breaks, those before have their rows and the page at
+    fault one with the reason. Repeated rows give their pages each time.
     """
     require(media, key, data)
 
@@ -301,10 +315,12 @@ def pages(media: DataFrame, key: str, data: str) -> DataFrame:
                     continue
                 for n, tags in enumerate(chain):
                     try:
+                        if isinstance(tags, ValueError):
+                            raise tags
                         about, x = page(value, order, tags)
                         rows.append({"key": k, "page": n, **about, "pixels": x.astype(np.float64).reshape(-1)})
                         held += x.size
-                    except (ValueError, KeyError, struct.error, zlib.error) as e:
+                    except (ValueError, TypeError, LookupError, ArithmeticError, struct.error, zlib.error) as e:
                         rows.append({"key": k, "page": n, "error": str(e)})
                     if held > 1 << 20:
                         yield _batch(rows)

@@ -293,3 +293,39 @@ def test_an_email_that_runs_into_prose():
     assert found("ann@site.com-2024, ann@site.org..x") == ["ann@site.com", "ann@site.org"]
     assert found("write to...ann.lee@mail.example.com.") == ["ann.lee@mail.example.com"]
     assert found("a@b a@b.c1 a.@site.com ..@site.com") == []
+
+
+def test_tiff_pages_before_and_beside_a_fault_are_read(spark):
+    rng = np.random.default_rng(7)
+    images = [rng.integers(0, 255, (5, 7)).astype(np.uint8) for _ in range(3)]
+    parts = [tiff.encode([{"pixels": x, "rows": 2} for x in images[:n]]) for n in (1, 2, 3)]
+    link = len(parts[0]) - 4  # the place of the second directory's offset
+    second = struct.unpack_from("<I", parts[2], link)[0]
+
+    def tag_of(data, at, tag):
+        return next(q for q in range(at + 2, at + 2 + 12 * struct.unpack_from("<H", data, at)[0], 12) if struct.unpack_from("<H", data, q)[0] == tag)
+
+    def beyond(tag, as_tag):
+        data = bytearray(parts[2])
+        struct.pack_into("<HHII", data, tag_of(data, second, tag), as_tag, 4, 100, len(data))
+        return data
+
+    far = bytearray(parts[2])
+    struct.pack_into("<I", far, link, len(far) + 10)
+    empty = bytearray(parts[2])
+    struct.pack_into("<I", empty, tag_of(empty, second, 257) + 4, 0)
+    files = {
+        "cut in the third directory": (parts[2][:-20], [0, 1], [2]),
+        "cut before the last link": (parts[2][:-4], [0, 1, 2], [3]),
+        "second directory beyond the end": (far, [0], [1]),
+        "a needed tag beyond the end": (beyond(273, 273), [0, 2], [1]),
+        "metadata beyond the end": (beyond(262, 270), [0, 1, 2], []),
+        "a tag without values": (empty, [0, 2], [1]),
+    }
+    df = spark.createDataFrame([(i, bytearray(f[0])) for i, f in enumerate(files.values())], "key long, data binary")
+    got = tiff.pages(df, "key", "data").collect()
+    for i, (name, (_, good, bad)) in enumerate(files.items()):
+        read = {r["page"]: r["pixels"] for r in got if r["key"] == i and not r["error"]}
+        assert sorted(read) == good, name
+        assert sorted(r["page"] for r in got if r["key"] == i and r["error"]) == bad, name
+        assert all(read[n] == images[n].reshape(-1).tolist() for n in good), name
