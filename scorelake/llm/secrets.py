@@ -40,8 +40,11 @@ PROVIDERS = re.compile(
 #: Every match of PROVIDERS holds one of these, and looking for them is much cheaper.
 _LITERALS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
 _NAME = re.compile("(?i:" + _KEYS + ")")
-_VALUE = re.compile(r"(?::=|=>|[:=])\s{0,3}[\"']?([^\s\"'<>,;]{6,200})")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,199}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}")
+#: The beginning of an assigned value; the value is the whole run of _RUN from there.
+_VALUE = re.compile(r"(?::=|=>|[:=])\s{0,3}[\"']?(?=([^\s\"'<>,;]{6}))")
+_RUN = re.compile(r"[^\s\"'<>,;]+")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
+_DIGIT = re.compile("[0-9]")
 _SIGN = re.compile("[:=]")
 _PROVIDER = ("cloud", "forge", "chat", "maps", "pay", "web", "pem")
 DICTIONARY = frozenset(
@@ -140,7 +143,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every candidate, in text order; a null or empty text has none.
 
     Of candidates that overlap a provider's format wins over an assigned value, and that over a
-    bare run of 24 characters and more with a digit.
+    bare run of 24 characters and more with a digit. A candidate is always the whole run.
     """
     if not text:
         return []
@@ -148,13 +151,16 @@ def candidates(text: str | None) -> list[tuple[str, int, int]]:
     if any(x in text for x in _LITERALS):
         found += [(m.lastgroup, *m.span()) for m in PROVIDERS.finditer(text)]
     if "=" in text or ":" in text:
+        stop = 0  # end of the run that was measured last; signs inside it share it
         for m in _SIGN.finditer(text):
             at = m.start()
             value = _VALUE.match(text, at)
             if value and _named(text, at):
-                found.append(("assigned", *value.span(1)))
+                if value.start(1) >= stop:
+                    stop = _RUN.match(text, value.start(1)).end()
+                found.append(("assigned", value.start(1), stop))
     if max(map(len, text.split()), default=0) >= 24:
-        found += [("bare", *m.span()) for m in _BARE.finditer(text)]
+        found += [("bare", *m.span()) for m in _BARE.finditer(text) if _DIGIT.search(text, *m.span())]
     out: list[tuple[str, int, int]] = []
     for kind, s, e in sorted(found, key=lambda x: (x[1], _RANK.get(x[0], 0), x[1] - x[2])):
         if out and s < out[-1][2]:

@@ -329,3 +329,19 @@ def test_tiff_pages_before_and_beside_a_fault_are_read(spark):
         assert sorted(read) == good, name
         assert sorted(r["page"] for r in got if r["key"] == i and r["error"]) == bad, name
         assert all(read[n] == images[n].reshape(-1).tolist() for n in good), name
+
+
+def test_long_secrets_are_whole_runs(spark):
+    rng = np.random.default_rng(9)
+    run = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    head, tails = run(200), [run(300), run(300)]
+    texts = [f"{cue}{head}{tail}{end}" for cue, end in (("token=", "; x"), ("see ", " x")) for tail in tails]
+    for text, start in zip(texts, (6, 6, 4, 4)):
+        assert [(s, e) for _, s, e in secrets.candidates(text)] == [(start, start + 500)]
+    assert secrets.candidates("x " + "a" * 300 + "1") == [("bare", 2, 303)]
+    assert secrets.candidates("x " + "a" * 300) == []
+    assert len(secrets.candidates("key=" * 100_000 + "abcdefgh")) == 1
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = secrets.scan(docs, threshold=0.0).collect()
+    assert sorted((r["doc_id"], r["end"] - r["start"]) for r in got) == [(i, 500) for i in range(4)]
+    assert len({r["fingerprint"] for r in got}) == 2
