@@ -176,32 +176,80 @@ def dtw(x: np.ndarray, y: np.ndarray, metric: str = "cosine", scale: float = 100
     return float(t[n, m] / (max(steps, 1) if by_path else 1) * scale)
 
 
-def chroma(x: np.ndarray, rate: int, fft: int = 2048, hop: int = 512, smooth: int = 0) -> np.ndarray:
-    """Twelve pitch classes a frame, from the power spectrum, each frame scaled to a maximum of 1; ``smooth`` frames are averaged."""
+CHROMA_FEATURES, CHROMA_METRICS = ("stft", "cqt", "cens"), ("cosine", "euclidean")
+
+
+def chroma(x: np.ndarray, rate: int, fft: int = 2048, hop: int = 512) -> np.ndarray:
+    """Twelve pitch classes a frame, from the power spectrum, each frame scaled to a maximum of 1."""
     x = np.pad(np.asarray(x, float), fft // 2)
     power = np.abs(np.fft.rfft(_frames(x, fft, hop) * np.hanning(fft), axis=1)) ** 2
     f = np.fft.rfftfreq(fft, 1 / rate)[1:]
     pitch = np.round(12 * np.log2(np.maximum(f, 1e-9) / 440.0) + 69).astype(int) % 12
     out = np.stack([power[:, 1:][:, (pitch == c) & (f >= 27.5)].sum(axis=1) for c in range(12)], axis=1)
-    if smooth:
-        kernel = np.hanning(smooth + 2)[1:-1]
-        out = np.stack([np.convolve(out[:, c], kernel / kernel.sum(), "same") for c in range(12)], axis=1)
     return out / np.maximum(out.max(axis=1, keepdims=True), 1e-10)
 
 
-def chroma_distances(est, ref, rate: int = 22_050, scale: float = 100.0) -> dict[str, float]:
-    """DTW distances of chroma sequences under cosine and Euclidean frame distances, raw and in logarithm."""
-    out = {}
-    for name, smooth in (("stft", 0), ("cens", 41)):
-        a, b = chroma(est, rate, smooth=smooth), chroma(ref, rate, smooth=smooth)
-        for metric in ("cosine", "euclidean"):
-            out[f"chroma_{name}_{metric}_dtw"] = dtw(a, b, metric, scale)
-    a, b = chroma(est, rate), chroma(ref, rate)
-    out["chroma_stft_cosine_dtw_raw"] = dtw(a, b, "cosine", 1000.0)
-    out["chroma_stft_cosine_dtw_log"] = -10 * math.log10(out["chroma_stft_cosine_dtw"] / scale + 1e-10)
+def constant_q(x: np.ndarray, rate: int, hop: int = 512, bins: int = 36, octaves: int = 7) -> np.ndarray:
+    """Magnitudes as frames x bins from C1 (A4 at 440 Hz) on: Hann kernels of one quality, scaled by the root of their length.
+
+    Kernels are their closed-form spectrum within 16 bins of their own resolution; bins beyond half the rate are left out.
+    """
+    x = np.asarray(x, float)
+    f = 440.0 * 2.0 ** (-45 / 12 + np.arange(bins * octaves) / bins)
+    size = rate / (2 ** (1 / bins) - 1) / f
+    frames = 1 + len(x) // hop
+    count = frames + -(-int(size[0]) // hop)
+    n = count * hop
+    spectrum = np.fft.fft(x, n)[: n // 2]
+    out = np.zeros((frames, bins * octaves))
+    for k in np.flatnonzero(f < rate / 2):
+        lo, hi = max(0, math.ceil((f[k] - 16 * rate / size[k]) * n / rate)), min(n // 2, math.floor((f[k] + 16 * rate / size[k]) * n / rate) + 1)
+        g = (np.arange(lo, hi) * rate / n - f[k]) * size[k] / rate
+        edge = np.abs(np.abs(g) - 1) < 1e-9
+        kernel = np.where(edge, 0.5, np.sinc(g) / np.where(edge, 1, 1 - g**2))
+        # every hop-th sample of the filtered signal: its spectrum folded to as many bins
+        folded = np.zeros(count, complex)
+        np.add.at(folded, np.arange(lo, hi) % count, spectrum[lo:hi] * kernel)
+        out[:, k] = np.abs(np.fft.ifft(folded))[:frames] / hop * math.sqrt(size[k])
     return out
 
 
+def chroma_cqt(x: np.ndarray, rate: int, hop: int = 512, bins: int = 36) -> np.ndarray:
+    """Twelve pitch classes a frame from C on, from constant-Q magnitudes, each frame scaled to a maximum of 1."""
+    q = constant_q(x, rate, hop, bins)
+    pitch = (np.arange(q.shape[1]) + bins // 24) // (bins // 12) % 12
+    out = np.stack([q[:, pitch == c].sum(axis=1) for c in range(12)], axis=1)
+    return out / np.maximum(out.max(axis=1, keepdims=True), 1e-10)
+
+
+def chroma_cens(x: np.ndarray, rate: int, hop: int = 512, smooth: int = 41) -> np.ndarray:
+    """Energy-normalised statistics: shares of constant-Q chroma in four steps, smoothed over frames by a Hann window, scaled to a maximum of 1."""
+    q = chroma_cqt(x, rate, hop)
+    share = q / np.maximum(q.sum(axis=1, keepdims=True), 1e-10)
+    steps = sum(0.25 * (share > t) for t in (0.4, 0.2, 0.1, 0.05))
+    kernel = np.hanning(smooth + 2)
+    pad = np.pad(steps, ((len(kernel) // 2, len(kernel) // 2), (0, 0)))
+    out = np.stack([np.convolve(pad[:, c], kernel / kernel.sum(), "valid") for c in range(12)], axis=1)
+    return out / np.maximum(out.max(axis=1, keepdims=True), 1e-10)
+
+
+def chroma_fields(features=CHROMA_FEATURES, metrics=CHROMA_METRICS) -> list[str]:
+    if not set(features) <= set(CHROMA_FEATURES) or not set(metrics) <= set(CHROMA_METRICS):
+        raise ValueError(f"chroma features {list(features)} by {list(metrics)}: there are {CHROMA_FEATURES} by {CHROMA_METRICS}")
+    return [*(f"chroma_{n}_{m}_dtw" for n in features for m in metrics), "chroma_stft_cosine_dtw_raw", "chroma_stft_cosine_dtw_log"]
+
+
+def chroma_distances(est, ref, rate: int = 22_050, scale: float = 100.0, features=CHROMA_FEATURES, metrics=CHROMA_METRICS, by_path: bool = True) -> dict[str, float]:
+    """DTW distances of chroma sequences under cosine and Euclidean frame distances, raw and in logarithm."""
+    make = {"stft": chroma, "cqt": chroma_cqt, "cens": chroma_cens}
+    fields, values = chroma_fields(features, metrics), []
+    for name in features:
+        a, b = make[name](est, rate), make[name](ref, rate)
+        values += [dtw(a, b, metric, scale, by_path) for metric in metrics]
+    base = dtw(chroma(est, rate), chroma(ref, rate), "cosine", 1.0)
+    return dict(zip(fields, [*values, base * 1000.0, -10 * math.log10(base + 1e-10)]))
+
+
 def _bark_bands(rate: int, fft: int) -> np.ndarray:
     """25 critical bands with Gaussian-shaped edges, as used by frequency-weighted measures."""
     centre = np.array([50, 120, 190, 260, 330, 400, 470, 540, 617.372, 703.378, 798.717, 904.128, 1020.38, 1148.3, 1288.72, 1442.54, 1610.7, 1794.16, 1993.93, 2211.08, 2446.71, 2701.97, 2978.04, 3276.17, 3597.63])
@@ -391,15 +439,23 @@ def _signal(e, r, s):
     return [*bss_eval(e, r), si_snr(e, r), ci_sdr(e, r)]
 
 
-def _sepm(e, r, s):
-    return [fwsegsnr(e, r, s), llr(e, r, s), wss(e, r, s), cepstral_distance(e, r, s), *csii(e, r, s), ncm(e, r, s)]
+def _sepm(e, r, s, seconds=0.03, overlap=0.75):
+    return [fwsegsnr(e, r, s, seconds, overlap), llr(e, r, s, seconds, overlap), wss(e, r, s, seconds, overlap), cepstral_distance(e, r, s), *csii(e, r, s), ncm(e, r, s)]
 
 
 #: UDFs of (estimate, reference, rate) that return a struct of scores.
 signal_metric = _scored(["sdr", "sir", "sar", "si_snr", "ci_sdr"], _signal)
 intelligibility = _scored(["stoi", "estoi"], lambda e, r, s: [stoi(e, r, s), stoi(e, r, s, True)])
-sepm = _scored([f"pysepm_{k}" for k in ("fwsegsnr", "llr", "wss", "cd", "csii_high", "csii_mid", "csii_low", "ncm")], _sepm)
-chroma_metric = _scored([*(f"chroma_{n}_{m}_dtw" for n in ("stft", "cens") for m in ("cosine", "euclidean")), "chroma_stft_cosine_dtw_raw", "chroma_stft_cosine_dtw_log"], lambda e, r, s: list(chroma_distances(e, r, s).values()))
+def sepm_scores(seconds: float = 0.03, overlap: float = 0.75) -> Callable[..., Column]:
+    """Frame length and overlap hold for fwsegsnr, llr and wss, as in the reference."""
+    return _scored([f"pysepm_{k}" for k in ("fwsegsnr", "llr", "wss", "cd", "csii_high", "csii_mid", "csii_low", "ncm")], lambda e, r, s: _sepm(e, r, s, seconds, overlap))
+
+
+def chroma_scores(scale: float = 100.0, features=CHROMA_FEATURES, metrics=CHROMA_METRICS, by_path: bool = True) -> Callable[..., Column]:
+    return _scored(chroma_fields(features, metrics), lambda e, r, s: list(chroma_distances(e, r, s, scale, features, metrics, by_path).values()))
+
+
+sepm, chroma_metric = sepm_scores(), chroma_scores()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -160,6 +160,11 @@ def _signal(df: DataFrame, config: dict) -> Column:
     return signal.signal_metric("samples", "ref_samples", "rate")
 
 
+def _chroma(df: DataFrame, config: dict) -> Column:
+    run = signal.chroma_scores(config["scale_factor"], tuple(config["feature_types"]), tuple(config["distance_metrics"]), config["normalize_by_path"])
+    return run("samples", "ref_samples", "rate")
+
+
 def _part(udf, field_name: str) -> Score:
     return lambda df, config: F.struct(udf("samples", "ref_samples", "rate")[field_name].alias(field_name))
 
@@ -193,9 +198,9 @@ def default_registry() -> Registry:
     add("estoi", DEPENDENT, "float", "estoi", "ESTOI estoi_metric", "ref", _part(signal.intelligibility, "estoi"))
     add("pesq", DEPENDENT, "float", "pesq", "Pesq perceptual_evaluation_speech_quality", "ref")
     add("visqol", DEPENDENT, "float", "visqol", "visqol_metric VISQOL", "ref", model="default")
-    add("pysepm", DEPENDENT, "dict", sepm, "pysepm_metric", "ref", lambda df, config: signal.sepm("samples", "ref_samples", "rate"), frame_len=0.03, overlap=0.75)
+    add("pysepm", DEPENDENT, "dict", sepm, "pysepm_metric", "ref", lambda df, config: signal.sepm_scores(config["frame_len"], config["overlap"])("samples", "ref_samples", "rate"), frame_len=0.03, overlap=0.75)
     add("log_wmse", DEPENDENT, "float", "log_wmse", "log-wmse torch_log_wmse", "ref", audio_length=1.0, sample_rate=44100)
-    add("chroma_alignment", DEPENDENT, "float", tuple(f.name for f in signal.chroma_metric.returnType.fields), "ChromaAlignment", "ref", lambda df, config: signal.chroma_metric("samples", "ref_samples", "rate"), sample_rate=22050, scale_factor=100.0, normalize_by_path=True)
+    add("chroma_alignment", DEPENDENT, "float", tuple(f.name for f in signal.chroma_metric.returnType.fields), "ChromaAlignment", "ref", _chroma, sample_rate=22050, feature_types=signal.CHROMA_FEATURES, distance_metrics=signal.CHROMA_METRICS, scale_factor=100.0, normalize_by_path=True)
     add("discrete_speech", DEPENDENT, "float", "speech_bert speech_bleu speech_token_distance", "DiscreteSpeech", "ref gpu", sample_rate=16000)
     add("dpam", DEPENDENT, "float", "dpam_distance", "DpamDistance dpam_distance", "ref gpu")
     add("cdpam", DEPENDENT, "float", "cdpam_distance", "CdpamDistance cdpam_distance", "ref gpu")
