@@ -345,3 +345,30 @@ def test_long_secrets_are_whole_runs(spark):
     got = secrets.scan(docs, threshold=0.0).collect()
     assert sorted((r["doc_id"], r["end"] - r["start"]) for r in got) == [(i, 500) for i in range(4)]
     assert len({r["fingerprint"] for r in got}) == 2
+
+
+def test_tiff_pixels_of_grids_of_blocks(spark):
+    rng = np.random.default_rng(11)
+    whole, real = rng.integers(0, 60_000, (37, 53)), rng.random((37, 53)).astype(np.float32)
+    made = [
+        {"pixels": whole.astype("<u2"), "compression": code, "predictor": predictor, **blocks}
+        for code in (1, 5, 8, 32773)
+        for predictor in (1, 2)
+        for blocks in ({"tile": 16}, {"rows": 5})
+    ]
+    made += [{"pixels": real, "compression": 8, "predictor": 3, **blocks} for blocks in ({"tile": 16}, {"rows": 5})]
+    df = spark.createDataFrame([(1, bytearray(tiff.encode(made)))], "key long, data binary")
+    got = tiff.pages(df, "key", "data").orderBy("page").collect()
+    assert len(got) == len(made)
+    for r, p in zip(got, made):
+        tiled = "tile" in p
+        assert (r["error"], r["samples"], r["tiled"], r["blocks"]) == (None, 1, tiled, 12 if tiled else 8)
+        assert r["pixels"] == p["pixels"].astype(float).reshape(-1).tolist()
+
+
+def test_warc_records_of_pages_are_whole(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "<p>héllo\r\n\r\nWARC/1.0</p>"), (2, "http://b/", None), (3, "http://c/", "z" * 70_000)], "page_id long, url string, html string")
+    got = warc.records(warc.write(pages, warc.folder_of(spark, "warc-test"))).collect()
+    found = {r["record_id"]: (r["uri"], bytes(r["payload"]).decode()) for r in got if r["type"] == "resource"}
+    assert found == {f"<urn:page:{r['page_id']}>": (r["url"], r["html"] or "") for r in pages.collect()}
+    assert all(r["date"] and r["offset"] >= 0 for r in got)
