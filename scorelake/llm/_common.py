@@ -34,12 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> str:
+    """Note a folder of intermediate files, which is deleted when the program ends."""
+    _written.append((spark, path))
+    return path
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scorelake-{tag}-{uuid.uuid4().hex}"
+    kept_until_exit(spark, path)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -4,7 +4,7 @@ Tasks read byte ranges and emit, for every place that looks like the start of a
 of its successor. Inside a range the chain from each candidate is followed to the first offset
 beyond it; between ranges pointer jumping from the start of the file doubles the distance each
 round. Only records on the chain from offset 0 stay, so text inside a payload that looks like a
-record, even a whole archive, is rejected.
+record, even a whole archive, is rejected. Files are read as they are: compressed ones have no record.
 """
 
 from __future__ import annotations
@@ -12,51 +12,81 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import discard, mapped, shared_dir, staged
+from scorelake.llm._common import discard, kept_until_exit, mapped, shared_dir, staged
 
+#: Bytes of a range, and of what is read beyond it at first; a header that goes on further is read whole.
 SPLIT, LOOK = 8 << 20, 1 << 16
-MOST_HEADER = 1 << 20
+#: Bytes of ranges to a task, once there are more ranges than WAVES times the cores.
+TASK_BYTES, WAVES = 128 << 20, 4
 _MAGIC = re.compile(rb"WARC/\d\.\d\r?\n")
 _LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d{1,18})[ \t]*\r?$")
 _FIELD = re.compile(rb"(?m)^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*\r?$")
+#: A line of a header: a name and a colon, or white space that carries on the line before.
+_LINE = re.compile(rb"[!#-'*+.0-9A-Z^-z|~-]+:|[ \t]")
+
+
+class Cut(Exception):
+    """The header goes on beyond the bytes at hand."""
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _header_end(data: bytes, at: int) -> int | None:
+    """Where the lines of a header from ``at`` on end, its blank line included; None at a line that no header has."""
+    while True:
+        stop = data.find(b"\n", at)
+        if stop < 0:
+            raise Cut
+        if stop == at or (stop == at + 1 and data[at] == 13):
+            return stop + 1
+        if not _LINE.match(data, at):
+            return None
+        at = stop + 1
+
+
 def header(data: bytes, at: int) -> tuple[int, int, dict[str, str]] | None:
-    """(header's length, payload's length, fields) of a record that begins at ``at``; None where none does."""
+    """(header's length, payload's length, fields) of a record that begins at ``at``; None where none does.
+
+    Lines are read one by one from the magic on, so the work is the header's own length. ``Cut`` where
+    the data end first.
+    """
     m = _MAGIC.match(data, at)
-    if not m:
-        return None
-    ends = [(data.find(mark, m.end() - len(mark) // 2), len(mark)) for mark in (b"\r\n\r\n", b"\n\n")]
-    ends = [(p, n) for p, n in ends if 0 <= p - at <= MOST_HEADER]
-    if not ends:
+    end = _header_end(data, m.end()) if m else None
+    if end is None:
         return None
-    p, n = min(ends)
-    block = data[m.end() : p + n]
+    block = data[m.end() : end]
     length = _LENGTH.search(block)
     if not length or b"warc-type" not in block.lower():
         return None
-    fields = {k.decode("latin-1").lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(block)}
-    return p + n - at, int(length.group(1)), fields
+    fields: dict[str, str] = {}
+    for k, v in _FIELD.findall(block):
+        fields.setdefault(k.decode("latin-1").lower(), v.decode("utf-8", "replace"))
+    return end - at, int(length.group(1)), fields
 
 
-def candidates(data: bytes, base: int, own: int) -> tuple[list[int], list[int]]:
-    """(offsets, successors' offsets) of what looks like a record and begins in the first ``own`` bytes."""
+def candidates(data: bytes, base: int, own: int, last: bool = True) -> tuple[list[int], list[int]]:
+    """(offsets, successors' offsets) of what looks like a record and begins in the first ``own`` bytes.
+
+    ``last`` says that the file ends with the data: a header that is cut off there is none. Else it raises ``Cut``.
+    """
     at, nexts = [], []
-    for m in _MAGIC.finditer(data):
+    for m in _MAGIC.finditer(data, 0, min(len(data), own + 10)):
         if m.start() >= own:
             break
-        found = header(data, m.start())
+        try:
+            found = header(data, m.start())
+        except Cut:
+            if not last:
+                raise
+            continue
         if found:
             end = m.start() + found[0] + found[1]
             at.append(base + m.start())
@@ -64,36 +94,41 @@ def candidates(data: bytes, base: int, own: int) -> tuple[list[int], list[int]]:
     return at, nexts
 
 
-def _read(fs: pafs.FileSystem, path: str, start: int, length: int) -> bytes:
-    with fs.open_input_file(path) as f:
-        size = f.size()
-        return f.read_at(max(0, min(length, size - start)), start) if start < size else b""
-
-
 def splits(files: DataFrame, size: int = SPLIT) -> DataFrame:
     """(path, size, start) from (path, size): one row a byte range. Null paths and empty files give none; a repeated path counts once."""
     rows = files.filter("path is not null and size > 0").groupBy("path").agg(F.max("size").alias("size"))
     return rows.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long"))).alias("start"))
 
 
+def tasks(files: DataFrame, size: int = SPLIT) -> int:
+    """Number of tasks for the ranges: one each, until tasks of TASK_BYTES keep all cores busy."""
+    sums = splits(files, size).agg(F.count(F.lit(1)).alias("n")).first()
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(sums["n"], max(WAVES * cores, sums["n"] * size // TASK_BYTES)))
+
+
 def links(ranges: DataFrame, size: int = SPLIT) -> DataFrame:
     """(path, size, start, at, next, exit): candidates of each range, their successors, and where their chains leave the range.
 
     ``exit`` is -1 for a chain that breaks inside the range.
     """
 
+    def read(path: str, total: int, start: int) -> tuple[list[int], list[int]]:
+        fs, where = _open(path)
+        look = LOOK
+        with fs.open_input_file(where) as f:
+            end = min(total, f.size())
+            while True:
+                data = f.read_at(max(0, min(size + look, end - start)), start)
+                try:
+                    return candidates(data, start, size, start + len(data) >= end)
+                except Cut:  # a header reaches beyond what was read
+                    look *= 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, total, start in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "start"))):
-                fs, where = _open(path)
-                look = LOOK
-                while True:  # a header may reach beyond the range
-                    data = _read(fs, where, start, size + look)
-                    tail = _MAGIC.search(data, max(0, size - 16), size + 16)
-                    if look >= MOST_HEADER or start + len(data) >= total or not tail or header(data, tail.start()):
-                        break
-                    look *= 4
-                at, nexts = candidates(data, start, min(size, total - start))
+                at, nexts = read(path, total, start)
                 index = {o: i for i, o in enumerate(at)}
                 exits = [-1] * len(at)
                 for i in range(len(at) - 1, -1, -1):
@@ -135,33 +170,44 @@ def records(files: DataFrame, size: int = SPLIT) -> DataFrame:
     """(path, offset, type, record_id, uri, date, payload) of every record on the chain of each file (path, size).
 
     A file that doesn't begin with a record has none; one whose chain breaks has those before the
-    break. Missing fields are null. An empty table gives no row. The payload is binary, whole.
+    break, and a record that the file's end cuts off has what there is of its payload. Null paths and
+    empty files have none, a path given twice counts once, with the larger size. Missing fields are
+    null, and of a field that is repeated the first counts. An empty table gives no row. The payload
+    is binary, whole; headers may have any length.
     """
-    found = staged(links(splits(files, size).repartition(F.col("path"), F.col("start")), size), "links")
+    n = tasks(files, size)
+    found = staged(links(splits(files, size).repartition(n), size), "links")
     entry = reached(found).select("path", (F.col("at") - F.col("at") % size).alias("start"), F.col("at").alias("entry"))
-    chosen = found.join(entry, ["path", "start"]).select("path", "size", "start", "at", "next", "entry").repartition(F.col("path"), F.col("start"))
+    # a number of partitions by name: the rows are few and small, so that adaptive planning would put all in one task
+    chosen = found.join(entry, ["path", "start"]).select("path", "size", "start", "at", "next", "entry").repartition(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, where = _open(row["path"])
                 after = dict(zip(row["at"], row["next"]))
                 chain, at = [], row["entry"]
                 while at in after:
                     chain.append(at)
                     at = after[at]
+                fs, where = _open(row["path"])
+                with fs.open_input_file(where) as f:
+                    yield from _payloads(f, row["path"], chain, after, min(row["size"], f.size()), row["start"] + size)
+
+    def _payloads(f, path: str, chain: list[int], after: dict[int, int], total: int, stop: int) -> Iterator[pa.RecordBatch]:
+        """Records of a chain: the range is read in one piece, and a record that goes beyond it apart."""
+        out, held, base = [], 0, chain[0]
+        data = f.read_at(max(0, min(stop, total) - base), base)
+        for at in chain:
+            end = min(after[at] - 4, total)
+            whole = data[at - base : end - base] if end <= base + len(data) else f.read_at(max(0, end - at), at)
+            head, length, fields = header(whole, 0)
+            out.append((path, at, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), whole[head : head + length]))
+            held += len(whole)
+            if held > 4 << 20:
+                yield _batch(out)
                 out, held = [], 0
-                for at in chain:
-                    end = min(after[at] - 4, row["size"])
-                    data = _read(fs, where, at, end - at)
-                    head, length, fields = header(data, 0)
-                    out.append((row["path"], at, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), data[head : head + length]))
-                    held += len(data)
-                    if held > 4 << 20:
-                        yield _batch(out)
-                        out, held = [], 0
-                if out:
-                    yield _batch(out)
+        if out:
+            yield _batch(out)
 
     def _batch(rows: list) -> pa.RecordBatch:
         kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
@@ -215,9 +261,10 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
 
 def folder_of(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the program ends."""
     import uuid
 
-    return f"{shared_dir(spark).rstrip('/')}/scorelake-{name}-{uuid.uuid4().hex}"
+    return kept_until_exit(spark, f"{shared_dir(spark).rstrip('/')}/scorelake-{name}-{uuid.uuid4().hex}")
 
 
 def listing(spark: SparkSession, glob: str) -> DataFrame:
