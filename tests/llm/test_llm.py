@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scorelake.llm import ann, minhash, mixing, packing, pii, queries, secrets, tiff, tokens, toxicity, warc
+from scorelake.llm import minhash, mixing, packing, pii, queries, secrets, tiff, tokens, toxicity, warc
 from scorelake.llm._common import staged, table
 
 TABLES = "/root/testdata/sf0.001"
@@ -146,22 +146,6 @@ def test_boundaries_are_optimal():
         assert padding(packing.boundaries(x, n, 3)) == best
 
 
-def test_ann_recall(spark):
-    vectors = table(spark, TABLES, "embeddings")
-    data = vectors.collect()
-    ids, x = np.array([r["vec_id"] for r in data]), np.array([r["embedding"] for r in data], np.float32)
-    scores = x @ x.T
-    np.fill_diagonal(scores, -np.inf)
-    got: dict[int, set] = {}
-    for r in ann.neighbours(vectors, block=128).collect():
-        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
-    recall = np.mean([len(got[i] & set(ids[np.argsort(-row)[:10]])) / 10 for i, row in zip(ids, scores)])
-    assert recall >= 0.9
-    odd = spark.createDataFrame([(1, None), (2, []), (None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    assert ann.neighbours(odd).count() >= 0
-    assert ann.neighbours(odd.limit(0)).count() == 0
-
-
 def test_prefix_counts_match_whole_encodings():
     from tokenizers import Tokenizer  # noqa: F401  (the vocabulary's own library has to be there)
 
