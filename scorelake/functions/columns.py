@@ -47,6 +47,21 @@ def clean_transcript(text: Column | str) -> Column:
     return F.upper(F.trim(F.regexp_replace(col(text), r"\s+", " ")))
 
 
+def cleaned_text(text: Column | str, cleaner: str | None = "whisper_basic") -> Column:
+    """A text as a recogniser's scoring sees it; without a cleaner as it is.
+
+    ``whisper_basic`` is our own: lower case, no bracketed remarks, marks, symbols and punctuation as
+    spaces, single spaces. Compatibility forms of characters stay as they are.
+    """
+    c = col(text)
+    if cleaner is None:
+        return c
+    if cleaner != "whisper_basic":
+        raise ValueError(f"unknown text cleaner: {cleaner}")
+    spoken = F.regexp_replace(F.regexp_replace(F.lower(c), r"[<\[][^>\]]*[>\]]", ""), r"\([^)]+\)", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(spoken, r"[\p{M}\p{S}\p{P}]", " "), r"\s+", " "))
+
+
 def sentence_case(text: Column | str) -> Column:
     """All lower case but for the first letter."""
     low = F.lower(col(text))

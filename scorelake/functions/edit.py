@@ -13,49 +13,91 @@ from pyspark.sql import types as T
 COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("delete", "insert", "replace", "equal")])
 
 
+#: Bits of traced rows that are kept at once; longer pairs are split in two first.
+TRACE_BITS = 1 << 27
+
+
+def _masks(tokens: Sequence) -> dict:
+    """For each token the bits of its places."""
+    out: dict = {}
+    for i, t in enumerate(tokens):
+        out[t] = out.get(t, 0) | 1 << i
+    return out
+
+
+def _sweep(ref: Sequence, hyp: Sequence, kept: list | None = None) -> tuple[int, int]:
+    """Bits where the last column of the table rises and falls along ``ref``; ``kept`` gets those of every column.
+
+    A column of the table is held as the signs of its steps, so one token of ``hyp`` takes a handful
+    of operations on integers of as many bits as ``ref`` has tokens.
+    """
+    masks, full = _masks(ref), (1 << len(ref)) - 1
+    up, down = full, 0
+    for token in hyp:
+        same = masks.get(token, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right, left = down | (full & ~(diagonal | up)), diagonal & up
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        up, down = left | (full & ~(diagonal | right)), right & diagonal
+        if kept is not None:
+            kept.append((up, down))
+    return up, down
+
+
+def _column(ref: Sequence, hyp: Sequence) -> np.ndarray:
+    """Distances of every beginning of ``ref`` from the whole of ``hyp``."""
+    up, down = _sweep(ref, hyp)
+    size = -(-len(ref) // 8)
+    bits = lambda v: np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(ref)].astype(np.int64)
+    return np.concatenate([[len(hyp)], len(hyp) + np.cumsum(bits(up) - bits(down))])
+
+
+def _trace(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
+    """(deletions, insertions, replacements) of a cheapest alignment; a step back deletes if it can, then inserts."""
+    kept: list[tuple[int, int]] = []
+    _sweep(ref, hyp, kept)
+    i, j, d, s, r = len(ref), len(hyp), 0, 0, 0
+    while i and j:
+        if kept[j - 1][0] >> (i - 1) & 1:
+            i, d = i - 1, d + 1
+        else:
+            j -= 1
+            if j and kept[j - 1][1] >> (i - 1) & 1:
+                s += 1
+            else:
+                i -= 1
+                r += ref[i] != hyp[j]
+    return d + i, s + j, r
+
+
 def edit_counts(ref: Sequence, hyp: Sequence) -> tuple[int, int, int, int]:
     """(deletions, insertions, replacements, matches) of a cheapest alignment.
 
-    Of equally cheap ones the trace prefers a match or replacement, then a deletion. So deletions +
-    replacements + matches is the reference's length, insertions + replacements + matches the
-    hypothesis'.
+    Deletions + replacements + matches is the reference's length, insertions + replacements + matches
+    the hypothesis'. Equal ends are set apart first. Pairs whose traced rows would take more than
+    TRACE_BITS are split at the middle of the hypothesis, where both halves are cheapest together.
     """
-    n, m = len(ref), len(hyp)
-    lead = 0
-    while lead < min(n, m) and ref[lead] == hyp[lead]:
-        lead += 1
-    ref, hyp = ref[lead:], hyp[lead:]
-    tail = 0
-    while tail < min(len(ref), len(hyp)) and ref[-1 - tail] == hyp[-1 - tail]:
-        tail += 1
-    ref, hyp = ref[: len(ref) - tail], hyp[: len(hyp) - tail]
-    n, m = len(ref), len(hyp)
-    if not n or not m:
-        return n, m, 0, lead + tail
-    ids: dict = {}
-    a = np.array([ids.setdefault(x, len(ids)) for x in ref])
-    b = np.array([ids.setdefault(x, len(ids)) for x in hyp])
-    cost = np.empty((n + 1, m + 1), np.int32)
-    cost[0] = np.arange(m + 1)
-    ramp = np.arange(1, m + 1)
-    for i in range(1, n + 1):
-        # the row's insertions are a running minimum, so a row is a few array operations
-        best = np.minimum(cost[i - 1, :-1] + (b != a[i - 1]), cost[i - 1, 1:] + 1)
-        cost[i, 0] = i
-        cost[i, 1:] = np.minimum(np.minimum.accumulate(best - ramp), i) + ramp
-    i, j, d, s, r, e = n, m, 0, 0, 0, 0
-    while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            if a[i - 1] == b[j - 1]:
-                e += 1
-            else:
-                r += 1
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            d, i = d + 1, i - 1
+    total = [0, 0, 0]
+    todo = [(ref, hyp)]
+    while todo:
+        a, b = todo.pop()
+        lo, n, m = 0, len(a), len(b)
+        while lo < n and lo < m and a[lo] == b[lo]:
+            lo += 1
+        while n > lo and m > lo and a[n - 1] == b[m - 1]:
+            n, m = n - 1, m - 1
+        a, b = a[lo:n], b[lo:m]
+        if not len(a) or not len(b):
+            total[0] += len(a)
+            total[1] += len(b)
+        elif len(a) * len(b) > TRACE_BITS and len(b) > 1:
+            half = len(b) // 2
+            cut = int(np.argmin(_column(a, b[:half]) + _column(a[::-1], b[half:][::-1])[::-1]))
+            todo += [(a[:cut], b[:half]), (a[cut:], b[half:])]
         else:
-            s, j = s + 1, j - 1
-    return d, s, r, e + lead + tail
+            total = [x + y for x, y in zip(total, _trace(a, b))]
+    d, s, r = total
+    return d, s, r, len(ref) - d - r
 
 
 @F.pandas_udf(COUNTS)

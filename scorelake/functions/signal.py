@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,11 @@ def _pair(est, ref) -> tuple[np.ndarray, np.ndarray]:
 
 
 def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Polyphase resampling with a Kaiser window (beta 5, 10 zero crossings a side); the same array for equal rates."""
+    """Polyphase resampling with a Kaiser window (beta 5, 10 zero crossings a side); the same array for equal rates.
+
+    Of an array of several columns each is a signal. Outputs of one phase share their taps, so each
+    phase is one product of windows and taps.
+    """
     x = np.asarray(x, float)
     if rate == target or not len(x):
         return x
@@ -35,16 +40,16 @@ def resample(x: np.ndarray, rate: int, target: int) -> np.ndarray:
     k = np.arange(-half, half + 1)
     taps = np.sinc(k / most) / most * np.kaiser(2 * half + 1, 5.0)
     taps *= up / taps.sum()
-    n = -(-len(x) * up // down)
-    out = np.zeros(n)
-    at = np.arange(n) * down
-    # output i takes taps at i * down + half - up * j for each input j in reach
-    first = -(-(at - half) // up)
-    for j in range(2 * half // up + 1):
-        src = first + j
-        tap = at - src * up + half
-        ok = (src >= 0) & (src < len(x)) & (tap >= 0) & (tap <= 2 * half)
-        out[ok] += x[src[ok]] * taps[tap[ok]]
+    n, reach = -(-len(x) * up // down), 2 * half // up + 1
+    last, phase = np.divmod(np.arange(n) * down + half, up)
+    padded = np.concatenate([np.zeros((reach, *x.shape[1:])), x, np.zeros((max(0, int(last[-1]) - len(x) + 1), *x.shape[1:]))])
+    out = np.zeros((n, *x.shape[1:]))
+    for r in np.unique(phase):
+        t = taps[r::up]
+        rows = np.flatnonzero(phase == r)
+        for lo in range(0, len(rows), 1024):
+            part = rows[lo : lo + 1024]
+            out[part] = np.tensordot(padded[last[part][:, None] + reach - np.arange(len(t))], t, axes=(1, 0))
     return out
 
 
@@ -156,6 +161,12 @@ def dtw(x: np.ndarray, y: np.ndarray, metric: str = "cosine", scale: float = 100
         d = 1 - (x @ y.T) / np.maximum(nx * ny.T, 1e-10)
     else:
         d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+    cost, places, _ = _warped(d)
+    return float(cost / (max(len(places), 1) if by_path else 1) * scale)
+
+
+def _warped(d: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(cost, places in the first, in the second sequence) of the cheapest path through a table of distances."""
     n, m = d.shape
     t = np.full((n + 1, m + 1), np.inf)
     t[0, 0] = 0
@@ -163,17 +174,12 @@ def dtw(x: np.ndarray, y: np.ndarray, metric: str = "cosine", scale: float = 100
         i = np.arange(max(1, k - m), min(n, k - 1) + 1)
         j = k - i
         t[i, j] = d[i - 1, j - 1] + np.minimum(np.minimum(t[i - 1, j], t[i, j - 1]), t[i - 1, j - 1])
-    steps, i, j = 0, n, m
+    path, i, j = [], n, m
     while i and j:
-        steps += 1
-        least = min(t[i - 1, j - 1], t[i - 1, j], t[i, j - 1])
-        if t[i - 1, j - 1] == least:
-            i, j = i - 1, j - 1
-        elif t[i - 1, j] == least:
-            i -= 1
-        else:
-            j -= 1
-    return float(t[n, m] / (max(steps, 1) if by_path else 1) * scale)
+        path.append((i - 1, j - 1))
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: t[p])  # the first of equals: the diagonal
+    one, two = zip(*reversed(path)) if path else ((), ())
+    return float(t[n, m]), np.array(one, int), np.array(two, int)
 
 
 CHROMA_FEATURES, CHROMA_METRICS = ("stft", "cqt", "cens"), ("cosine", "euclidean")
@@ -195,22 +201,31 @@ def constant_q(x: np.ndarray, rate: int, hop: int = 512, bins: int = 36, octaves
     Kernels are their closed-form spectrum within 16 bins of their own resolution; bins beyond half the rate are left out.
     """
     x = np.asarray(x, float)
-    f = 440.0 * 2.0 ** (-45 / 12 + np.arange(bins * octaves) / bins)
-    size = rate / (2 ** (1 / bins) - 1) / f
+    size = rate / (2 ** (1 / bins) - 1) / (440.0 * 2.0 ** (-45 / 12 + np.arange(bins * octaves) / bins))
     frames = 1 + len(x) // hop
     count = frames + -(-int(size[0]) // hop)
     n = count * hop
     spectrum = np.fft.fft(x, n)[: n // 2]
     out = np.zeros((frames, bins * octaves))
+    for k, lo, kernel in _kernels(rate, n, bins, octaves):
+        # every hop-th sample of the filtered signal: its spectrum folded to as many bins
+        part = np.zeros(-(-(lo % count + len(kernel)) // count) * count, complex)
+        part[lo % count : lo % count + len(kernel)] = spectrum[lo : lo + len(kernel)] * kernel
+        out[:, k] = np.abs(np.fft.ifft(part.reshape(-1, count).sum(axis=0)))[:frames] / hop * math.sqrt(size[k])
+    return out
+
+
+@lru_cache(8)
+def _kernels(rate: int, n: int, bins: int, octaves: int) -> list[tuple[int, int, np.ndarray]]:
+    """(bin, first place in a spectrum of ``n``, kernel) of the constant-Q bins under half the rate."""
+    f = 440.0 * 2.0 ** (-45 / 12 + np.arange(bins * octaves) / bins)
+    size = rate / (2 ** (1 / bins) - 1) / f
+    out = []
     for k in np.flatnonzero(f < rate / 2):
         lo, hi = max(0, math.ceil((f[k] - 16 * rate / size[k]) * n / rate)), min(n // 2, math.floor((f[k] + 16 * rate / size[k]) * n / rate) + 1)
         g = (np.arange(lo, hi) * rate / n - f[k]) * size[k] / rate
         edge = np.abs(np.abs(g) - 1) < 1e-9
-        kernel = np.where(edge, 0.5, np.sinc(g) / np.where(edge, 1, 1 - g**2))
-        # every hop-th sample of the filtered signal: its spectrum folded to as many bins
-        folded = np.zeros(count, complex)
-        np.add.at(folded, np.arange(lo, hi) % count, spectrum[lo:hi] * kernel)
-        out[:, k] = np.abs(np.fft.ifft(folded))[:frames] / hop * math.sqrt(size[k])
+        out.append((int(k), lo, np.where(edge, 0.5, np.sinc(g) / np.where(edge, 1, 1 - g**2))))
     return out
 
 
@@ -250,6 +265,44 @@ def chroma_distances(est, ref, rate: int = 22_050, scale: float = 100.0, feature
     return dict(zip(fields, [*values, base * 1000.0, -10 * math.log10(base + 1e-10)]))
 
 
+def alignment(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the frames that the cheapest warping pairs, by Euclidean distance, first to last."""
+    return _warped(np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0)))[1:]
+
+
+def mcd_f0_warped(frames, f0, power, ref_frames, ref_f0, ref_power, threshold: float = -20.0) -> list[float]:
+    """[mcd, f0rmse, f0corr] of a vocoder's frames: loud frames warped for the distortion, voiced ones for the pitch; NaN without a voiced frame."""
+    a, b = frames[power > threshold], ref_frames[ref_power > threshold]
+    if not len(a) or not len(b):
+        raise ValueError("no loud frame")
+    i, j = alignment(a, b)
+    mcd = float((10 / np.log(10) * np.sqrt(2 * ((a[i] - b[j]) ** 2).sum(axis=1))).mean())
+    va, vb = f0 > 0, ref_f0 > 0
+    if not va.any() or not vb.any():
+        return [mcd, math.nan, math.nan]
+    i, j = alignment(frames[va], ref_frames[vb])
+    p, q = f0[va][i], ref_f0[vb][j]
+    return [mcd, float(np.sqrt(((p - q) ** 2).mean())), float(np.corrcoef(p, q)[0, 1]) if p.std() * q.std() else math.nan]
+
+
+def warped_mcd_f0(threshold: float = -20.0) -> Callable[..., Column]:
+    """A UDF of (mcep, f0, npow) of an item and of its reference."""
+    schema = T.StructType([*(T.StructField(f, T.DoubleType()) for f in ("mcd", "f0rmse", "f0corr")), T.StructField("error", T.StringType())])
+
+    @F.pandas_udf(schema)
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, e: pd.Series, f: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in zip(a, b, c, d, e, f):
+            try:
+                x = [np.stack([np.asarray(v, float) for v in part]) if k % 3 == 0 else np.asarray(part, float) for k, part in enumerate(row)]
+                out.append([*mcd_f0_warped(*x, threshold), None])
+            except UNFIT as why:
+                out.append([None, None, None, f"{type(why).__name__}: {why}"])
+        return pd.DataFrame(out, columns=["mcd", "f0rmse", "f0corr", "error"]).astype(dict.fromkeys(("mcd", "f0rmse", "f0corr"), float))
+
+    return run
+
+
 def _bark_bands(rate: int, fft: int) -> np.ndarray:
     """25 critical bands with Gaussian-shaped edges, as used by frequency-weighted measures."""
     centre = np.array([50, 120, 190, 260, 330, 400, 470, 540, 617.372, 703.378, 798.717, 904.128, 1020.38, 1148.3, 1288.72, 1442.54, 1610.7, 1794.16, 1993.93, 2211.08, 2446.71, 2701.97, 2978.04, 3276.17, 3597.63])
@@ -301,15 +354,15 @@ def _order(rate: int) -> int:
     return 10 if rate < 10_000 else 16
 
 
-def llr(est, ref, rate: int, seconds: float = 0.03, overlap: float = 0.75) -> float:
-    """Log-likelihood ratio of linear prediction, mean of the lowest 95 % of frames."""
+def llr(est, ref, rate: int, seconds: float = 0.03, overlap: float = 0.75, cut: bool = True) -> float:
+    """Log-likelihood ratio of linear prediction, mean of the lowest 95 % of frames, each cut at 2."""
     e, t = _pair(est, ref)
     p = _order(rate)
     a, r = _lpc(_windowed(t, rate, seconds, overlap), p)
     b, _ = _lpc(_windowed(e, rate, seconds, overlap), p)
     gram = r[:, np.abs(np.arange(p + 1)[:, None] - np.arange(p + 1)[None])]
     top, low = np.einsum("ni,nij,nj->n", b, gram, b), np.einsum("ni,nij,nj->n", a, gram, a)
-    value = np.sort(np.minimum(np.log(np.maximum(top, EPS) / np.maximum(low, EPS)), 2.0))
+    value = np.sort(np.minimum(np.log(np.maximum(top, EPS) / np.maximum(low, EPS)), 2.0 if cut else np.inf))
     return float(value[: max(1, round(len(value) * 0.95))].mean())
 
 
@@ -361,76 +414,257 @@ def cepstral_distance(est, ref, rate: int, seconds: float = 0.03, overlap: float
     return float(value[: max(1, round(len(value) * 0.95))].mean())
 
 
+#: Centres and widths of the critical bands of the coherence index, and the importance of these and higher bands.
+_CRITICAL = np.array([150, 250, 350, 450, 570, 700, 840, 1000, 1170, 1370, 1600, 1850, 2150, 2500, 2900, 3400], float)
+_WIDTHS = np.array([100, 100, 100, 110, 120, 140, 150, 160, 190, 210, 240, 280, 320, 380, 450, 550], float)
+_IMPORTANCE = np.array([192, 312, 926, 1031, 735, 611, 495, 440, 440, 490, 486, 493, 490, 547, 555, 493, 359, 387, 256, 219, 43]) / 1e4
+_IMPORTANT = np.concatenate([_CRITICAL, [4000, 4800, 5800, 7000, 8500]])
+
+
 def csii(est, ref, rate: int, seconds: float = 0.03, overlap: float = 0.75) -> tuple[float, float, float]:
-    """Coherence speech intelligibility index (high, mid, low): frames by level, coherence as the ratio of speech to distortion.
+    """Coherence speech intelligibility index (high, mid, low): coherence as the ratio of speech to distortion.
 
-    Frames at or over the overall level are high, those down to 10 dB under it mid, to 30 dB low.
+    A frame's group goes by its level without a window over that of the whole reference: at or over it
+    high, down to 10 dB under it mid, the rest low. A group without a frame is NaN. Coherence is cut to
+    [0, 1], which equal signals would leave by rounding.
     """
     e, t = _pair(est, ref)
-    x, y = _windowed(t, rate, seconds, overlap), _windowed(e, rate, seconds, overlap)
-    fft = 1 << (2 * x.shape[1] - 1).bit_length()
-    fx, fy = np.fft.rfft(x, fft)[:, : fft // 2], np.fft.rfft(y, fft)[:, : fft // 2]
-    level = 20 * np.log10(np.maximum(np.sqrt((x**2).mean(axis=1)) / max(np.sqrt((t**2).mean()), EPS), EPS))
-    f = np.arange(fft // 2) * rate / fft
-    shape = np.zeros((16, fft // 2))
-    centre = np.array([150, 250, 350, 450, 570, 700, 840, 1000, 1170, 1370, 1600, 1850, 2150, 2500, 2900, 3400], float)
-    for i, c in enumerate(centre):
-        erb = 24.7 * (4.37 * c / 1000 + 1)
-        z = 4 * np.abs(f - c) / erb
-        shape[i] = (1 + z) * np.exp(-z)
-    weight = np.array([0.0192, 0.0312, 0.0926, 0.1031, 0.0735, 0.0611, 0.0495, 0.044, 0.044, 0.049, 0.0486, 0.0493, 0.049, 0.0547, 0.0555, 0.0493])
-    out = []
-    for group in (level >= 0, (level < 0) & (level >= -10), (level < -10) & (level >= -30)):
-        if not group.any():
-            out.append(0.0)
-            continue
-        a, b = fx[group], fy[group]
-        cross = np.abs((a * b.conj()).sum(axis=0)) ** 2
-        coherence = np.clip(cross / np.maximum((np.abs(a) ** 2).sum(axis=0) * (np.abs(b) ** 2).sum(axis=0), EPS), 0, 1)
-        power = np.abs(b) ** 2
-        snr = 10 * np.log10(np.maximum((coherence * power) @ shape.T, EPS) / np.maximum(((1 - coherence) * power) @ shape.T, EPS))
-        audible = (np.clip(snr, -15, 15) + 15) / 30
-        out.append(float((audible @ weight / weight.sum()).mean()))
+    size, hop = round(seconds * rate), int((1 - overlap) * seconds * rate)
+    count = int(len(t) / hop - size / hop)
+    if count < 1:
+        raise ValueError("too short")
+    window = np.hanning(size + 2)[1:-1]
+    plain, other = _frames(t, size, hop)[:count], _frames(e, size, hop)[:count]
+    fft = 1 << math.ceil(math.log2(2 * size))
+    x, y = (np.fft.rfft(f * window, fft)[:, : fft // 2] for f in (plain, other))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        level = 20 * np.log10(np.sqrt((plain**2).mean(axis=1)) / np.sqrt((t**2).mean()))
+        slope = 4 * _CRITICAL / _WIDTHS
+        z = slope[:, None] * np.abs(1 - np.arange(fft // 2) * rate / fft / _CRITICAL[:, None])
+        shape = ((1 + z) * np.exp(-z)).T
+        weight = _IMPORTANCE[: len(_CRITICAL)] / _IMPORTANCE[: len(_CRITICAL)].sum()
+        out = []
+        for group in (level >= 0, (level >= -10) & (level < 0), level < -10):
+            a, b = x[group], y[group]
+            both = np.abs((a * b.conj()).sum(axis=0)) ** 2
+            coherence = np.clip(both / ((np.abs(a) ** 2).sum(axis=0) * (np.abs(b) ** 2).sum(axis=0)), 0, 1)
+            power = np.abs(b) ** 2
+            ratio = 10 * np.log10((power * coherence) @ shape / ((power * (1 - coherence)) @ shape))
+            heard = ((np.clip(ratio, -15, 15) + 15) / 30) @ weight
+            out.append(float(heard.mean()) if len(heard) else math.nan)
     return out[0], out[1], out[2]
 
 
-def ncm(est, ref, rate: int) -> float:
-    """Normalised covariance: correlation of band envelopes as a ratio of speech to noise, weighted over 20 bands."""
+@lru_cache(8)
+def butterworth(low: tuple[float, ...], high: tuple[float, ...], rate: int, size: int, order: int = 4) -> np.ndarray:
+    """Frequency responses (bands x size / 2 + 1) of digital Butterworth band-pass filters, by the bilinear transform."""
+    warp = lambda f: 2 * rate * np.tan(np.pi * np.asarray(f, float) / rate)
+    lo, hi = warp(low)[:, None], warp(high)[:, None]
+    z = np.exp(1j * 2 * np.pi * np.arange(size // 2 + 1) / size)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = 2 * rate * (z - 1) / (z + 1)
+        p = (s**2 + lo * hi) / (s * (hi - lo))
+        poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
+        out = 1 / np.prod([p - q for q in poles], axis=0)
+    out[~np.isfinite(out)] = 0
+    return out
+
+
+def _analytic(x: np.ndarray) -> np.ndarray:
+    """Analytic signals of the rows."""
+    n = x.shape[1]
+    keep = np.zeros(n)
+    keep[0] = 1
+    keep[1 : (n + 1) // 2] = 2
+    if n % 2 == 0:
+        keep[n // 2] = 1
+    return np.fft.ifft(np.fft.fft(x, axis=1) * keep, axis=1)
+
+
+def ncm(est, ref, rate: int, bands: int = 20, envelope: int = 32) -> float:
+    """Normalised covariance: correlations of 20 band envelopes as ratios of speech to noise, by importance of the bands.
+
+    Bands lie evenly along the basilar membrane from 300 Hz to 600 Hz under half the rate; signals pass
+    Butterworth filters of order 4, their Hilbert envelopes are resampled to 32 Hz. There are 8 and 16 kHz only.
+    """
+    if rate not in (8000, 16_000):
+        raise ValueError("the rate has to be 8 or 16 kHz")
     e, t = _pair(est, ref)
-    n, bands = len(t), 20
-    if n < rate // 20:
+    place = lambda f: np.log10(f / 165 + 1)
+    step = (place(rate / 2 - 600) - place(300)) / bands
+    edges = 165 * (10 ** (place(300) + step * np.arange(bands + 1)) - 1)
+    weight = np.interp((edges[:-1] + edges[1:]) / 2, _IMPORTANT, _IMPORTANCE)
+    # room for the filters to die away, so that the product of spectra is their convolution
+    size = 1 << (len(t) + rate).bit_length()
+    response = butterworth(tuple(edges[:-1]), tuple(edges[1:]), rate, size)
+    envelopes = []
+    for x in (t, e):
+        filtered = np.fft.irfft(np.fft.rfft(x, size) * response, size, axis=1)[:, : len(t)]
+        envelopes.append(resample(np.abs(_analytic(filtered)).T, rate, envelope))
+    a, b = (v - v.mean(axis=0) for v in envelopes)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r2 = (a * b).sum(axis=0) ** 2 / ((a**2).sum(axis=0) * (b**2).sum(axis=0))
+        ratio = 10 * np.log10((r2 + 1e-20) / (1 - r2 + 1e-20))
+    return float(((np.clip(ratio, -15, 15) + 15) / 30) @ weight / weight.sum())
+
+
+def segmental_snr(est, ref, rate: int, seconds: float = 0.03, overlap: float = 0.75) -> float:
+    """Segmental SNR, frames cut to [-10, 35] dB."""
+    e, t = _pair(est, ref)
+    a, b = _windowed(t, rate, seconds, overlap), _windowed(e, rate, seconds, overlap)
+    snr = 10 * np.log10((a**2).sum(axis=1) / (((a - b) ** 2).sum(axis=1) + EPS) + EPS)
+    return float(np.clip(snr, -10, 35).mean())
+
+
+def composite_parts(est, ref, rate: int) -> tuple[float, float, float]:
+    """(llr without its cut, wss, segmental SNR), what composite measures join with a PESQ score; 8 and 16 kHz only."""
+    return llr(est, ref, rate, cut=False), wss(est, ref, rate), segmental_snr(est, ref, rate)
+
+
+def composites(pesq: Column, likelihood: Column, slope: Column, snr: Column) -> dict[str, Column]:
+    """Signal, background and overall quality from 1 to 5, as published; null without a PESQ score."""
+    cut = lambda c: F.greatest(F.lit(1.0), F.least(F.lit(5.0), c))
+    known = lambda c: F.when(pesq.isNotNull() & slope.isNotNull(), cut(c))
+    return {
+        "pysepm_c_sig": known(3.093 - 1.029 * likelihood + 0.603 * pesq - 0.009 * slope),
+        "pysepm_c_bak": known(1.634 + 0.478 * pesq - 0.007 * slope + 0.063 * snr),
+        "pysepm_c_ovl": known(1.594 + 0.805 * pesq - 0.512 * likelihood - 0.007 * slope),
+    }
+
+
+def mel_cepstra(x: np.ndarray, rate: int, count: int = 13, top: float = 4000.0, size: int = 256, hop: int = 32, bands: int = 128, lifter: int = 3) -> np.ndarray:
+    """Liftered mel-frequency cepstra, frames x coefficients: Slaney mel bands of equal area, decibels over the peak less 80, orthonormal cosine transform."""
+    x = np.pad(np.asarray(x, float), size // 2)
+    power = np.abs(np.fft.rfft(_frames(x, size, hop) * np.hanning(size + 1)[:-1])) ** 2
+    mel = lambda f: np.where(f < 1000, f * 3 / 200, 15 + np.log(np.maximum(f, 1000) / 1000) / np.log(6.4) * 27)
+    hertz = lambda m: np.where(m < 15, m * 200 / 3, 1000 * np.exp((m - 15) * np.log(6.4) / 27))
+    edge = hertz(np.linspace(mel(np.array(0.0)), mel(np.array(float(top))), bands + 2))
+    f = np.fft.rfftfreq(size, 1 / rate)
+    rise, fall = (f - edge[:-2, None]) / np.diff(edge)[:-1, None], (edge[2:, None] - f) / np.diff(edge)[1:, None]
+    shape = np.maximum(0, np.minimum(rise, fall)) * (2 / (edge[2:] - edge[:-2]))[:, None]
+    level = 10 * np.log10(np.maximum(power @ shape.T, 1e-10))
+    level = np.maximum(level, level.max(initial=-100) - 80)
+    n = np.arange(bands)
+    basis = np.cos(np.pi / bands * (n + 0.5)[None] * np.arange(count)[:, None]) * np.sqrt(2 / bands)
+    basis[0] /= np.sqrt(2)
+    lift = 1 + lifter / 2 * np.sin(np.pi * np.arange(1, count + 1) / lifter) if lifter else 1
+    return level @ basis.T * lift
+
+
+def _normalised(x: np.ndarray, width: int = 201) -> np.ndarray:
+    """Each coefficient less its mean and over its deviation in a window of frames, ends mirrored."""
+    half = width // 2
+    mirrored = np.pad(x, ((half, half), (0, 0)), mode="symmetric" if len(x) >= half else "edge")
+    centred = x - np.lib.stride_tricks.sliding_window_view(mirrored, width, axis=0).mean(axis=2)
+    mirrored = np.pad(centred, ((half, half), (0, 0)), mode="symmetric" if len(x) >= half else "edge")
+    return centred / (np.lib.stride_tricks.sliding_window_view(mirrored, width, axis=0).std(axis=2) + 2.0**-30)
+
+
+def subsequence_cost(part: np.ndarray, whole: np.ndarray, steps: tuple[tuple[int, int], ...] = ((1, 0), (0, 3), (1, 3))) -> float:
+    """Least cost at which warping by ``steps`` (frames of the part, of the whole) finds the part in the whole, a frame of the part."""
+    d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (whole**2).sum(1)[None] - 2 * part @ whole.T, 0))
+    n, m = d.shape
+    t = np.full((n, m), np.inf)
+    t[0] = d[0]
+    across = max((c for r, c in steps if r == 0), default=0)
+    for i in range(n):
+        if i:
+            best = np.full(m, np.inf)
+            for r, c in steps:
+                if 0 < r <= i:
+                    best[c:] = np.minimum(best[c:], t[i - r, : m - c])
+            t[i] = best + d[i]
+            if across:
+                for j in range(across, m):
+                    t[i, j] = min(t[i, j], t[i, j - across] + d[i, j])
+    return float(t[-1].min() / n)
+
+
+def warpq(est, ref, rate: int, target: int = 8000, count: int = 13, top: float = 4000.0, patch: float = 0.5, steps=((1, 0), (0, 3), (1, 3))) -> float:
+    """WARP-Q: median over half-overlapping patches of the estimate of their subsequence warping cost in the reference.
+
+    Cepstra of 32 ms frames each 4 ms, mean and variance normalised in a sliding window. It follows the
+    published description; no speech detection, no mapping to a rating.
+    """
+    e, t = resample(est, rate, target), resample(ref, rate, target)
+    size, hop = int(0.032 * target), int(0.004 * target)
+    a, b = (_normalised(mel_cepstra(x, target, count, top, size, hop)) for x in (e, t))
+    wide = min(int(patch * target / hop), len(a))
+    if wide < 2 or not len(b):
+        raise ValueError("too short")
+    costs = [subsequence_cost(a[lo : lo + wide], b, tuple(map(tuple, steps))) for lo in range(0, len(a) - wide + 1, max(1, wide // 2))]
+    return float(np.median(costs))
+
+
+def srmr(x, rate: int, channels: int = 23, lowest: float = 125.0, slow: float = 4.0, quick: float = 128.0) -> float:
+    """Ratio of speech to reverberation modulation energy: four slow modulation bands over the quicker ones up to the auditory bandwidth.
+
+    Gammatone filters at equal steps of auditory bandwidth, Hilbert envelopes, eight modulation bands
+    of quality 2, energies in 256 ms windows each 64 ms. Filters are applied as spectra; it follows the
+    published description.
+    """
+    x = np.asarray(x, float)
+    if len(x) < int(0.256 * rate):
         raise ValueError("too short")
-    top = min(3400.0, rate / 2 * 0.95)
-    edges = 165.4 * (10 ** (np.linspace(np.log10(300 / 165.4 + 1), np.log10(top / 165.4 + 1), bands + 1)) - 1)
-    f = np.fft.fftfreq(n, 1 / rate)
-    fx, fy = np.fft.fft(t), np.fft.fft(e)
-    values, weights = [], []
-    step = max(1, rate // 25)
-    for lo, hi in zip(edges, edges[1:]):
-        mask = 2.0 * ((f >= lo) & (f < hi))  # the analytic signal: its magnitude is the envelope
-        a, b = np.abs(np.fft.ifft(fx * mask)), np.abs(np.fft.ifft(fy * mask))
-        mean = lambda v: v[: len(v) // step * step].reshape(-1, step).mean(axis=1) if len(v) >= 2 * step else v
-        a, b = mean(a), mean(b)
-        da, db = a - a.mean(), b - b.mean()
-        r2 = (da @ db) ** 2 / max((da @ da) * (db @ db), EPS)
-        snr = np.clip(10 * np.log10(max(r2, EPS) / max(1 - r2, EPS)), -15, 15)
-        values.append((snr + 15) / 30)
-        weights.append(np.sqrt((a**2).sum()) ** 1.5)
-    return float(np.dot(values, weights) / max(np.sum(weights), EPS))
-
-
-def _scored(fields: list[str], score: Callable) -> Callable[..., Column]:
-    schema = T.StructType([T.StructField(f, T.DoubleType()) for f in fields])
+    ear, least = 9.26449, 24.7
+    centre = -ear * least + np.exp(np.arange(1, channels + 1) * (np.log(lowest + ear * least) - np.log(rate / 2 + ear * least)) / channels) * (rate / 2 + ear * least)
+    width = centre / ear + least
+    size = 1 << (len(x) + rate).bit_length()
+    f = np.fft.rfftfreq(size, 1 / rate)
+    tone = 1 / (1 + 1j * (f[None] - centre[:, None]) / (1.019 * width[:, None])) ** 4
+    band = np.fft.irfft(np.fft.rfft(x, size) * tone, size, axis=1)[:, : len(x)]
+    envelope = np.abs(_analytic(band))
+    middle = slow * (quick / slow) ** (np.arange(8) / 7)
+    w = np.tan(np.pi * middle / rate)
+    z = np.exp(-2j * np.pi * f / rate)
+    q = 2.0
+    gain = w / q
+    modulation = gain[:, None] * (1 - z**2) / ((1 + gain + w**2)[:, None] + (2 * w**2 - 2)[:, None] * z + (1 - gain + w**2)[:, None] * z**2)
+    span, hop = int(np.ceil(0.256 * rate)), int(np.ceil(0.064 * rate))
+    window = np.hanning(span + 2)[1:-1] ** 2
+    energy = np.zeros((channels, 8))
+    for c in range(channels):
+        out = np.fft.irfft(np.fft.rfft(envelope[c], size) * modulation, size, axis=1)[:, : len(x)]
+        frames = np.lib.stride_tricks.sliding_window_view(out**2, span, axis=1)[:, ::hop]
+        energy[c] = (frames @ window).mean(axis=1)
+    total = energy.sum()
+    share = np.cumsum(energy.sum(axis=1)[::-1]) / total  # from the lowest channel up
+    reach = width[::-1][int(np.argmax(share > 0.9))]
+    edge = middle * (np.sqrt(1 + 1 / (2 * q) ** 2) - 1 / (2 * q))
+    last = max(5, int((edge <= reach).sum()))
+    return float(energy[:, :4].sum() / energy[:, 4:last].sum())
+
+
+#: What a signal that can't be scored raises; anything else is a fault of the program.
+UNFIT = (ValueError, TypeError, ArithmeticError, IndexError, np.linalg.LinAlgError)
+
+
+def _scored(fields: list[str], score: Callable, inputs: int = 2) -> Callable[..., Column]:
+    """A UDF of signals and their rate to a struct of scores; a row that can't be scored has nulls, and why in ``error``."""
+    schema = T.StructType([*(T.StructField(f, T.DoubleType()) for f in fields), T.StructField("error", T.StringType())])
+
+    def rows(*columns: pd.Series) -> pd.DataFrame:
+        out = []
+        for *signals, s in zip(*columns):
+            try:
+                if any(x is None for x in signals) or pd.isna(s):
+                    raise ValueError("an input is null")
+                out.append([*score(*(np.asarray(x, float) for x in signals), int(s)), None])
+            except UNFIT as e:
+                out.append([*[None] * len(fields), f"{type(e).__name__}: {e}"])
+        return pd.DataFrame(out, columns=[*fields, "error"]).astype(dict.fromkeys(fields, float))
+
+    if inputs == 1:
+
+        @F.pandas_udf(schema)
+        def alone(est: pd.Series, rate: pd.Series) -> pd.DataFrame:
+            return rows(est, rate)
+
+        return alone
 
     @F.pandas_udf(schema)
     def run(est: pd.Series, ref: pd.Series, rate: pd.Series) -> pd.DataFrame:
-        rows = []
-        for e, r, s in zip(est, ref, rate):
-            try:
-                rows.append(score(np.asarray(e, float), np.asarray(r, float), int(s)))
-            except (ValueError, TypeError, np.linalg.LinAlgError, IndexError):
-                rows.append([None] * len(fields))
-        return pd.DataFrame(rows, columns=fields, dtype=float)
+        return rows(est, ref, rate)
 
     return run
 
@@ -440,21 +674,34 @@ def _signal(e, r, s):
 
 
 def _sepm(e, r, s, seconds=0.03, overlap=0.75):
-    return [fwsegsnr(e, r, s, seconds, overlap), llr(e, r, s, seconds, overlap), wss(e, r, s, seconds, overlap), cepstral_distance(e, r, s), *csii(e, r, s), ncm(e, r, s)]
+    fit = s if s in (8000, 16_000) else 8000 if s < 16_000 else 16_000
+    a, b = resample(e, s, fit), resample(r, s, fit)
+    return [fwsegsnr(e, r, s, seconds, overlap), llr(e, r, s, seconds, overlap), wss(e, r, s, seconds, overlap), cepstral_distance(e, r, s), *csii(e, r, s), ncm(a, b, fit), *composite_parts(a, b, fit)]
 
 
 #: UDFs of (estimate, reference, rate) that return a struct of scores.
 signal_metric = _scored(["sdr", "sir", "sar", "si_snr", "ci_sdr"], _signal)
 intelligibility = _scored(["stoi", "estoi"], lambda e, r, s: [stoi(e, r, s), stoi(e, r, s, True)])
+
+
 def sepm_scores(seconds: float = 0.03, overlap: float = 0.75) -> Callable[..., Column]:
     """Frame length and overlap hold for fwsegsnr, llr and wss, as in the reference."""
-    return _scored([f"pysepm_{k}" for k in ("fwsegsnr", "llr", "wss", "cd", "csii_high", "csii_mid", "csii_low", "ncm")], lambda e, r, s: _sepm(e, r, s, seconds, overlap))
+    return _scored([*(f"pysepm_{k}" for k in ("fwsegsnr", "llr", "wss", "cd", "csii_high", "csii_mid", "csii_low", "ncm")), "llr_whole", "wss_whole", "snr_whole"], lambda e, r, s: _sepm(e, r, s, seconds, overlap))
 
 
 def chroma_scores(scale: float = 100.0, features=CHROMA_FEATURES, metrics=CHROMA_METRICS, by_path: bool = True) -> Callable[..., Column]:
     return _scored(chroma_fields(features, metrics), lambda e, r, s: list(chroma_distances(e, r, s, scale, features, metrics, by_path).values()))
 
 
+def warpq_scores(target: int = 8000, count: int = 13, top: float = 4000.0, patch: float = 0.5, steps=((1, 0), (0, 3), (1, 3))) -> Callable[..., Column]:
+    return _scored(["warpq"], lambda e, r, s: [warpq(e, r, s, target, count, top, patch, steps)])
+
+
+def srmr_scores(channels: int = 23, lowest: float = 125.0, slow: float = 4.0, quick: float = 128.0) -> Callable[..., Column]:
+    """A UDF of (signal, rate)."""
+    return _scored(["srmr"], lambda x, s: [srmr(x, s, channels, lowest, slow, quick)], inputs=1)
+
+
 sepm, chroma_metric = sepm_scores(), chroma_scores()
 
 

@@ -13,6 +13,11 @@ from scorelake.functions.columns import col
 MINIMUM = {"stoi": 0.3, "pesq": 0.25, "visqol": 1.0, "sheet": 0.065, "squim_ref": 0.1, "squim_no_ref": 0.1}
 
 
+#: Chunks of a scoring run, and of the chunking script: seconds, hop, and the least that a last one lasts.
+SCORING = {"seconds": 0.5, "hop": 0.2, "least": 0.1}
+STANDALONE = {"seconds": 3.0, "hop": 3.0, "least": 0.0}
+
+
 def minimum_seconds(metrics: Iterable[str]) -> float:
     """The strictest minimum of the configured metrics; aliases and other names have none."""
     return max((MINIMUM.get(m, 0.0) for m in metrics), default=0.0)
@@ -90,3 +95,14 @@ def merged_segments(segments: DataFrame, gap: float = 0.1, least: float = 0.25,
     opened = segments.withColumn("__new", F.when(reach.isNull() | (F.col("start") - reach >= gap), 1).otherwise(0))
     grouped = opened.withColumn("__g", F.sum("__new").over(w)).groupBy(key, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return grouped.filter(F.col("end") - F.col("start") >= least).select(key, F.greatest(F.lit(0.0), F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
+
+
+def segments_of(df: DataFrame, segments: str = "vad_info", key: str = "key") -> DataFrame:
+    """(key, start, end) of an array of segments a row; a row without any has none."""
+    return df.select(key, F.explode(segments).alias("s")).select(key, "s.start", "s.end")
+
+
+def likeliest(languages: Column | str) -> Column:
+    """The language of the highest probability in an array of (lang, prob); of equals the first, null without any."""
+    best = F.aggregate(col(languages), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("prob")), lambda a, x: F.when(a["prob"].isNull() | (x["prob"] > a["prob"]), F.struct(x["lang"].alias("lang"), x["prob"].cast("double").alias("prob"))).otherwise(a))
+    return best["lang"]

@@ -101,6 +101,19 @@ def concat(frames: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Rows with their place in listing order, only for small tables that need it on output."""
-    return df.withColumn("ord", F.row_number().over(Window.orderBy(order)))
+def numbered(df: DataFrame, *order: Column | str, name: str = "ord") -> DataFrame:
+    """Rows with their place, from 1 on, in the order given; of rows that tie any may come first.
+
+    The rows are sorted over ranges and written, a file a range; a row's place is the number of rows
+    in earlier files plus its place in its own. So no task sees more than its range.
+    """
+    from scorelake.plans.session import shared_folder
+
+    spark = df.sparkSession
+    path = shared_folder(spark, "numbered")
+    df.orderBy(*order).write.parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    sizes = rows.groupBy("__file").count()
+    # a row a file
+    before = sizes.withColumn("__before", F.sum("count").over(Window.orderBy(F.length("__file"), "__file")) - F.col("count")).select("__file", "__before")
+    return rows.join(before, "__file").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))

@@ -7,6 +7,7 @@ metrics need no schema change, and every aggregate is one hash aggregation by me
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from scorelake.functions import naming
 from scorelake.functions.columns import INF, finite, is_count_metric, sample_std
 
+#: Bins of the charts of one metric, and of several side by side.
+BINS, GROUPED_BINS = 20, 15
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -60,8 +63,40 @@ def strict_means(df: DataFrame, key: Sequence[str] = ("key",)) -> DataFrame:
 def statistics(long: DataFrame) -> DataFrame:
     """(metric, count, mean, median, std, min, max) of the finite values; metrics without any have count 0 and nulls."""
     v = F.when(finite("value"), F.col("value"))
-    raw = long.groupBy("metric").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
-    return raw.select("metric", "count", "mean", "median", F.when(F.col("count") > 0, sample_std(F.col("count"), F.col("min"), F.col("max"), F.col("sd"))).alias("std"), "min", "max")
+    raw = long.groupBy("metric").agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = quantiles(long, [0.5]).select(F.col("metric").alias("__metric"), F.col("q")[0].alias("median"))
+    both = raw.join(middle, F.col("metric").eqNullSafe(F.col("__metric")), "left")
+    return both.select("metric", "count", "mean", "median", F.when(F.col("count") > 0, sample_std(F.col("count"), F.col("min"), F.col("max"), F.col("sd"))).alias("std"), "min", "max")
+
+
+def quantiles(long: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(metric, q): exact interpolated quantiles of each metric's finite values; metrics without any have no row.
+
+    Equal values are counted first; the distinct ones are sorted over ranges, so that a metric with most
+    of the rows lies in many tasks, and written. A value's ranks are the counts before it: those of
+    earlier ranges, from one row a metric and range, and those in its own.
+    """
+    from scorelake.plans.session import shared_folder
+
+    spark = long.sparkSession
+    path = shared_folder(spark, "quantiles")
+    counted = long.filter(finite("value")).select("metric", (F.col("value") + 0.0).alias("value")).groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted.orderBy("metric", "value").write.parquet(path)
+    rows = spark.read.schema("metric string, value double, n long").parquet(path).withColumn("part", F.col("_metadata.file_name"))
+    sums = rows.groupBy("metric", "part").agg(F.sum("n").alias("n"))
+    parts = Window.partitionBy("metric")
+    sums = sums.select(F.col("metric").alias("m"), F.col("part").alias("p"), (F.sum("n").over(parts.orderBy(F.length("part"), "part")) - F.col("n")).alias("before"), F.sum("n").over(parts).alias("total"))
+    placed = rows.join(sums, F.col("metric").eqNullSafe(F.col("m")) & (F.col("part") == F.col("p")))
+    upto = F.sum("n").over(Window.partitionBy("metric", "part").orderBy("value")) + F.col("before")
+    placed = placed.select("metric", "value", (upto - F.col("n")).alias("lo"), upto.alias("hi"), "total")
+    spots = [F.lit(float(s)) * (F.col("total") - 1) for s in shares]
+    holds = lambda r: (F.col("lo") <= r) & (F.col("hi") > r)
+    ends = [(holds(F.floor(s)), holds(F.ceil(s))) for s in spots]
+    some = [e for pair in ends for e in pair]
+    wanted = placed.filter(reduce(lambda a, b: a | b, some))
+    picked = wanted.groupBy("metric").agg(F.max("total").alias("total"), *(F.max(F.when(e, F.col("value"))).alias(f"e{i}") for i, e in enumerate(some)))
+    between = [F.col(f"e{2 * i}") + (F.col(f"e{2 * i + 1}") - F.col(f"e{2 * i}")) * (s - F.floor(s)) for i, s in enumerate(spots)]
+    return picked.select("metric", F.array(*between).alias("q"))
 
 
 def analysis(long: DataFrame) -> DataFrame:
@@ -100,12 +135,18 @@ def category_rollup(found: DataFrame) -> DataFrame:
 
 
 def tree(found: DataFrame, root: str = "Metrics") -> DataFrame:
-    """(name, parent, value, mean, std): root, categories and metrics of an analysis as an adjacency list."""
-    blank = F.lit(None).cast("double")
-    top = found.agg(F.count(F.lit(1)).alias("value")).select(F.lit(root).alias("name"), F.lit("").alias("parent"), "value", blank.alias("mean"), blank.alias("std"))
-    middle = found.groupBy("category").agg(F.count(F.lit(1)).alias("value")).select(F.col("category").alias("name"), F.lit(root).alias("parent"), "value", blank.alias("mean"), blank.alias("std"))
-    leaves = found.select(F.col("metric_name").alias("name"), F.col("category").alias("parent"), F.lit(1).cast("long").alias("value"), F.bround("mean", 4).alias("mean"), F.bround("std", 4).alias("std"))
-    return top.unionByName(middle).unionByName(leaves)
+    """(name, parent, value, mean, std): root, categories and metrics of an analysis as an adjacency list.
+
+    Grouping sets of one aggregation give all three levels, so the analysis runs once. An empty
+    analysis has the root alone.
+    """
+    level = F.grouping_id()
+    g = found.groupingSets([[], [F.col("category")], [F.col("category"), F.col("metric_name")]], "category", "metric_name")
+    rows = g.agg(level.alias("level"), F.count("metric_name").alias("n"), F.bround(F.max("mean"), 4).alias("m"), F.bround(F.max("std"), 4).alias("s"))
+    leaf = F.col("level") == 0
+    name = F.when(F.col("level") == 3, F.lit(root)).when(F.col("level") == 1, F.col("category")).otherwise(F.col("metric_name"))
+    parent = F.when(F.col("level") == 3, F.lit("")).when(F.col("level") == 1, F.lit(root)).otherwise(F.col("category"))
+    return rows.select(name.alias("name"), parent.alias("parent"), F.when(leaf, F.lit(1)).otherwise(F.col("n")).cast("long").alias("value"), F.when(leaf, F.col("m")).alias("mean"), F.when(leaf, F.col("s")).alias("std"))
 
 
 def correlation(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -121,16 +162,30 @@ def correlation(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 
 def positional_correlation(long: DataFrame, order: str) -> DataFrame:
-    """(a, b, r) where values are paired by their place among a metric's finite values, cut to the shortest metric."""
-    spot = Window.partitionBy("metric").orderBy(order)
-    numbered = long.filter(finite("value")).select("metric", "value", F.row_number().over(spot).alias("n"))
-    least = numbered.groupBy("metric").agg(F.max("n").alias("m")).agg(F.min("m").alias("least"))
-    cut = numbered.join(F.broadcast(least), F.col("n") <= F.col("least"))  # one row
-    left, right = cut.select("n", F.col("metric").alias("a"), F.col("value").alias("x")), cut.select("n", F.col("metric").alias("b"), F.col("value").alias("y"))
-    return left.join(right, "n").groupBy("a", "b").agg(F.corr("x", "y").alias("r"))
+    """(a, b, r) where values are paired by their place among a metric's finite values, cut to the shortest metric.
 
-
-def histogram(long: DataFrame, bins: int = 20) -> DataFrame:
+    For compatibility: the pairing has no meaning where rows lack a value. Places come from ranges of
+    (metric, order), not from one window a metric; all metrics' values of a place meet in one row.
+    """
+    from scorelake.operators.pairing import numbered
+    from scorelake.plans.session import staged
+
+    rows = staged(numbered(long.filter(finite("value")).select("metric", F.col(order).alias("__order"), "value"), "metric", "__order", name="place"), "places")
+    # a row a metric
+    firsts = rows.groupBy("metric").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("m"))
+    names = sorted(r["metric"] for r in firsts.select("metric").collect())
+    if not names:
+        return long.sparkSession.createDataFrame([], "a string, b string, r double")
+    least = firsts.agg(F.min("m")).first()[0]
+    placed = rows.join(firsts, "metric").select("metric", "value", (F.col("place") - F.col("first")).alias("n")).filter(F.col("n") < least)
+    columns = {m: f"m{i}" for i, m in enumerate(names)}
+    table = placed.groupBy("n").agg(*(F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in columns.items()))
+    found = correlation(table, list(columns.values()))
+    back = F.create_map(*(F.lit(x) for c in ((c, m) for m, c in columns.items()) for x in c))
+    return found.select(back[F.col("a")].alias("a"), back[F.col("b")].alias("b"), "r")
+
+
+def histogram(long: DataFrame, bins: int = BINS) -> DataFrame:
     """(metric, bin, low, high, count): equal bins between a metric's least and greatest finite value; empty bins have no row."""
     v = long.filter(finite("value"))
     edges = v.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
@@ -140,10 +195,14 @@ def histogram(long: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def quartiles(long: DataFrame) -> DataFrame:
-    """(metric, q1, q2, q3) of finite values, interpolated."""
-    v = F.when(finite("value"), F.col("value"))
-    p = long.groupBy("metric").agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p"))
-    return p.select("metric", F.col("p")[0].alias("q1"), F.col("p")[1].alias("q2"), F.col("p")[2].alias("q3"))
+    """(metric, q1, q2, q3) of finite values, interpolated; metrics without any have no row."""
+    return quantiles(long, [0.25, 0.5, 0.75]).select("metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
+
+
+def first_category(categories: DataFrame) -> DataFrame:
+    """(metric, category): of the (category, metrics, ord) groups the first in ``ord`` that holds a metric."""
+    each = categories.select("category", "ord", F.explode("metrics").alias("metric"))
+    return each.groupBy("metric").agg(F.min_by("category", "ord").alias("category"))
 
 
 def preview(df: DataFrame, order: Column | str | Sequence[str], rows: int = 20, metrics: int = 15, key: Sequence[str] = ("key",)) -> DataFrame:

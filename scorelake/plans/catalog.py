@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +82,16 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, turn, ref_text, hyp_text): each turn with the next, characters beyond ASCII as question marks."""
-    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", plain("text").alias("text"))
+    """(conv_id, turn, ref_text, hyp_text): each turn with the next."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hyp_text"))
     return c.withColumnRenamed("text", "ref_text").join(after, ["conv_id", "turn"])
 
 
-_TURNS_SQL = "SELECT a.conv_id, a.turn, regexp_replace(a.text, '[^\\x00-\\x7F]', '?', 'g') AS ref_text, regexp_replace(b.text, '[^\\x00-\\x7F]', '?', 'g') AS hyp_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+#: DuckDB's levenshtein compares bytes: each letter beyond ASCII becomes a control character of its own, which keeps distances.
+_LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_PLAIN = "translate({}, '" + _LETTERS + "', " + " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)]) + ")"
+_TURNS_SQL = f"SELECT a.conv_id, a.turn, {_PLAIN.format('a.text')} AS ref_text, {_PLAIN.format('b.text')} AS hyp_text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
 
 # --- score tables ----------------------------------------------------------------------------
 
@@ -183,15 +186,19 @@ def score_preview(spark, d):
     return scores.preview(wide(spark, d), ["key", *sorted(WIDE)])
 
 
-@query(f"SELECT {naming.category_sql('metric')} AS category, metric, round(min(value), 6) AS low FROM ({_LONG_SQL}) GROUP BY 1, 2")
+@query("""WITH g AS (SELECT source AS category, lang AS metric, min(doc_id) AS ord FROM documents GROUP BY 1, 2), o AS (SELECT category, min(ord) AS ord FROM g GROUP BY 1)
+SELECT metric, arg_min(g.category, o.ord) AS category FROM g JOIN o USING (category) GROUP BY metric""")
 def first_category(spark, d):
-    low = long(spark, d).groupBy("metric").agg(F.min("value").alias("low"))
-    return rounded(low.join(scores.discover(low), "metric").groupBy("metric").agg(F.min_by("category", "category").alias("category"), F.min("low").alias("low")), "low")
+    groups = table(spark, d, "documents").groupBy(F.col("source").alias("category")).agg(F.collect_set("lang").alias("metrics"), F.min("doc_id").alias("ord"))
+    return scores.first_category(groups)
 
 
-@query("SELECT key, max(CASE WHEN metric = 'view' THEN value END) AS view, max(CASE WHEN metric = 'click' THEN value END) AS click FROM (SELECT user_id AS key, event_type AS metric, value FROM events) GROUP BY key")
+_TYPES = ("click", "view", "purchase", "signup", "error")
+
+
+@query("SELECT key, " + ", ".join(f"max(CASE WHEN metric = '{t}' THEN value END) AS {t}" for t in _TYPES) + " FROM (SELECT user_id AS key, event_type AS metric, value FROM events) GROUP BY key")
 def wide_from_long(spark, d):
-    return scores.to_wide(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("metric"), "value"), metrics=["view", "click"])
+    return scores.to_wide(table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("metric"), "value"), metrics=list(_TYPES))
 
 
 # --- pairing ---------------------------------------------------------------------------------
@@ -390,13 +397,13 @@ def chunk_pairs(spark, d):
     return cut.select("key", r6(C.mean(F.zip_with("samples", "ref_samples", lambda a, b: F.abs(a - b)))).alias("difference"))
 
 
-@query("SELECT doc_id, n_chars / 1000.0::DOUBLE >= 0.3 AS long_enough, length(text) > 0 AND length(replace(text, text[1], '')) > 0 AS varies FROM documents")
+@query("SELECT vec_id AS key, vec_id % 2 = 0 AS long_enough, vec_id % 3 <> 0 AND list_min(embedding) < list_max(embedding) AS varies, CASE WHEN vec_id % 2 = 1 THEN 'too short' WHEN vec_id % 3 = 0 THEN 'constant' END AS reason FROM embeddings")
 def signal_validity(spark, d):
-    samples = F.split("text", "")
-    docs = table(spark, d, "documents")
-    ok = chunking.long_enough(F.col("n_chars"), F.lit(1000.0), ["stoi", "pesq", "estoi"])
-    some = F.filter(samples, lambda c: c != "")
-    return docs.select("doc_id", ok.alias("long_enough"), (F.size(F.array_distinct(some)) > 1).alias("varies"))
+    s = signals(spark, d).select("key", F.when(F.col("key") % 2 == 0, 64).otherwise(640).alias("rate"), F.when(F.col("key") % 3 == 0, F.transform("samples", lambda x: F.lit(0.5))).otherwise(F.col("samples")).alias("samples"))
+    names = ["stoi", "pesq", "estoi"]
+    good, bad = chunking.valid(s, names)
+    both = good.withColumn("reason", F.lit(None).cast("string")).unionByName(bad)
+    return both.select("key", chunking.long_enough(F.size("samples"), "rate", names).alias("long_enough"), chunking.varies("samples").alias("varies"), "reason")
 
 
 _ZIPPED = f"SELECT vec_id AS key, {_VEC} AS v, list_reverse({_VEC}) AS w FROM embeddings"
@@ -438,8 +445,8 @@ def signal_padding(spark, d):
 
 
 def _longer(spark, d):
-    """The stand-in signals repeated to half a second at 16 kHz; the other side has them shifted."""
-    s = signals(spark, d)
+    """The stand-in signals repeated to half a second at 16 kHz, spread over all cores, as each takes some 0.1 s to score."""
+    s = signals(spark, d).repartition(spark.sparkContext.defaultParallelism, "key")
     return s.select("key", F.lit(16000).alias("rate"), C.repeat_to("samples", 8000).alias("samples"), C.repeat_to("ref_samples", 8000).alias("ref_samples"))
 
 
@@ -470,9 +477,19 @@ def dtw_alignment(spark, d):
     return signals(spark, d).select("key", signal.dtw_distance(frames("samples"), frames("ref_samples")).alias("distance"))
 
 
-@query(f"SELECT vec_id AS key, CAST(32 AS INTEGER) AS n FROM embeddings")
+def _halving_sql() -> str:
+    """Every second of 64 samples after the low-pass of the definition: a sinc of 20 samples a side in a Kaiser window (beta 5)."""
+    k = np.arange(-20, 21)
+    taps = np.sinc(k / 2) / 2 * np.kaiser(41, 5.0)
+    taps = ", ".join(repr(float(t)) for t in taps / taps.sum())
+    return f"""WITH v AS (SELECT vec_id AS key, {_VEC} AS v, [{taps}] AS h FROM embeddings), r AS (SELECT key, list_transform(range(0, 32), lambda i: list_sum(list_transform(range(0, 41), lambda t: CASE WHEN 2 * i + t BETWEEN 20 AND 83 THEN h[t + 1] * v[2 * i + t - 19] ELSE 0 END))) AS x FROM v)
+SELECT key, CAST(len(x) AS INTEGER) AS n, round(x[1], 6) AS first, round(x[17], 6) AS middle, round(x[32], 6) AS last, round(list_sum(x), 5) AS total FROM r"""
+
+
+@query(_halving_sql())
 def resample_signals(spark, d):
-    return signals(spark, d).select("key", F.size(signal.resampled("samples", F.col("rate"), F.lit(32))).alias("n"))
+    x = signals(spark, d).select("key", signal.resampled("samples", F.col("rate"), F.lit(32)).alias("x"))
+    return x.select("key", F.size("x").alias("n"), r6(F.col("x")[0]).alias("first"), r6(F.col("x")[16]).alias("middle"), r6(F.col("x")[31]).alias("last"), r6(C.total("x"), 5).alias("total"))
 
 
 @query("""WITH e AS (SELECT user_id AS key, epoch(ts)::DOUBLE / 600 AS s, epoch(ts)::DOUBLE / 600 + abs(value) / 100 AS t FROM events),
@@ -515,11 +532,10 @@ def score_listing(spark, d):
     return files.score_scp(lines).select("key", F.try_variant_get("scores", "$.k", "long").alias("k"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS key, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_words FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0")
+@query("SELECT CAST(doc_id AS VARCHAR) AS key, replace(upper(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ẞ', 'SS') AS text FROM documents WHERE len(regexp_extract_all(text, '\\S+')) > 0")
 def json_transcripts(spark, d):
     line = F.to_json(F.struct(F.struct(F.col("doc_id").alias("index")).alias("segment"), F.col("text").alias("scene")))
-    found = files.json_to_transcript(table(spark, d, "documents").select(line.alias("value")), "$.segment.index", "$.scene")
-    return found.select("key", F.size(C.words("text")).cast("long").alias("n_words"))
+    return files.json_to_transcript(table(spark, d, "documents").select(line.alias("value")), "$.segment.index", "$.scene")
 
 
 @query("SELECT event_id AS key, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS error FROM events")
@@ -533,14 +549,15 @@ def description_prompts(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("key"), files.prompt("props").alias("prompt"))
 
 
-@query("SELECT event_id, CASE WHEN s >= 3600 THEN printf('%02d:', CAST(s // 3600 AS BIGINT)) ELSE '' END || printf('%02d:%02d.%03d', CAST(s // 60 % 60 AS BIGINT), CAST(s % 60 AS BIGINT), CAST(0 AS BIGINT)) AS clock FROM (SELECT event_id, CAST(event_id * 7 AS BIGINT) AS s FROM events)")
+@query("SELECT event_id, CASE WHEN m >= 3600000 THEN printf('%02d:', m // 3600000) ELSE '' END || printf('%02d:%02d.%03d', m // 60000 % 60, m // 1000 % 60, m % 1000) AS clock FROM (SELECT event_id, CAST(event_id * 7125 AS BIGINT) AS m FROM events)")
 def clock_times(spark, d):
-    return table(spark, d, "events").select("event_id", C.timestamp(F.col("event_id") * 7.0).alias("clock"))
+    return table(spark, d, "events").select("event_id", C.timestamp(F.col("event_id") * 7.125).alias("clock"))
 
 
 # --- answers ---------------------------------------------------------------------------------
 
-_KINDS = ("voice_pitch", "speaker_gender", "speech_emotion", "voice_type")
+#: Language and overlap have rules of their own beside the terms.
+_KINDS = tuple(k for k in standardize.VOCABULARY if k not in ("language", "overlapping_speech"))
 
 
 def _answer(kind: str) -> Column:
@@ -565,11 +582,25 @@ def standardized_answers(spark, d):
     return standardize.standardize_row(raw)
 
 
-@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'Male' WHEN c_custkey % 3 = 1 THEN 'Female' END AS qwen_speaker_gender, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS BIGINT) END AS qwen_speaker_count FROM customer")
+_ALLOWED = tuple(k for k in standardize.ALLOWED if k != standardize.NUMERIC)
+
+
+def _term(kind: str) -> Column:
+    terms = standardize.VOCABULARY[kind]
+    return F.element_at(F.array(*map(F.lit, terms)), (F.col("c_custkey") % len(terms) + 1).cast("int"))
+
+
+def _allowed_sql(kind: str) -> str:
+    terms = ", ".join(f"'{t}'" for t in standardize.VOCABULARY[kind])
+    return f"CASE WHEN c_custkey % 3 < 2 THEN list_extract([{terms}], CAST(c_custkey % {len(standardize.VOCABULARY[kind])} + 1 AS BIGINT)) END AS qwen_{kind}"
+
+
+@query("SELECT c_custkey AS key, " + ", ".join(map(_allowed_sql, _ALLOWED)) + ", CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS BIGINT) END AS qwen_speaker_count FROM customer")
 def allowed_answers(spark, d):
     k = F.col("c_custkey")
-    gender = F.when(k % 3 == 0, "Male").when(k % 3 == 1, "Female").otherwise("male")
-    raw = table(spark, d, "customer").select(k.alias("key"), gender.alias("qwen_speaker_gender"), F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit(".5"))).alias("qwen_speaker_count"), F.lit("x").alias("other"))
+    given = lambda kind: F.when(k % 3 < 2, _term(kind)).otherwise(F.concat(_term(kind), F.lit(".")))
+    count = F.when(k % 2 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit(".5")))
+    raw = table(spark, d, "customer").select(k.alias("key"), *(given(kind).alias(f"qwen_{kind}") for kind in _ALLOWED), count.alias("qwen_speaker_count"), F.lit("x").alias("other"))
     return standardize.allow_list(raw)
 
 
@@ -587,9 +618,10 @@ def job_stats(spark, d):
 # --- registry and streams --------------------------------------------------------------------
 
 
-@query()
+@query("SELECT * FROM (VALUES ('dependent', 'dict', 4, 4, 0), ('dependent', 'float', 16, 16, 0), ('distributional', 'dict', 1, 0, 0), ('distributional', 'float', 2, 0, 1), ('independent', 'dict', 7, 0, 0), ('independent', 'float', 11, 0, 0), ('independent', 'list', 1, 0, 0), ('independent', 'string', 44, 0, 0), ('non_match', 'dict', 6, 0, 6), ('non_match', 'float', 2, 2, 0)) t(category, type, n, with_reference, with_text)")
 def metric_registry(spark, d):
-    return default_registry().table(spark)
+    found = default_registry().table(spark).filter("available")
+    return found.groupBy("category", "type").agg(*(F.count_if(c).cast("int").alias(n) for c, n in ((F.lit(True), "n"), (F.col("requires_reference"), "with_reference"), (F.col("requires_text"), "with_text"))))
 
 
 @query("SELECT event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY 1")
@@ -608,8 +640,12 @@ def windowed_summary(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from scorelake.plans import runs  # noqa: F401 - registers its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from scorelake.plans import runs  # noqa: F401
+
     return dict(SQL)

@@ -5,13 +5,17 @@ from __future__ import annotations
 import io
 import struct
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Samples of a batch of signals.
+BATCH = 1 << 19
 SCHEMA = "key string, rate int, samples array<double>, error string"
 
 
@@ -38,29 +42,63 @@ def encode_wav(rate: int, samples: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def open_at(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and place of a path or URI."""
+    return pafs.FileSystem.from_uri(path if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/"))
+
+
+def is_file(path: str) -> bool:
+    try:
+        fs, where = open_at(path)
+        return fs.get_file_info(where).type == pafs.FileType.File
+    except (OSError, pa.ArrowException):
+        return False
+
+
+def _signals(found: Iterator[tuple[str, Callable[[], tuple[int | None, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH samples of (key, how to read it); an item that can't be read has its reason."""
+    rows, held = [], 0
+    for key, read in found:
+        try:
+            rate, samples = read()
+            rows.append((key, rate, samples, None))
+            held += len(samples)
+        except (OSError, wave.Error, ValueError, TypeError, EOFError, struct.error, pa.ArrowException) as e:
+            rows.append((key, None, None, str(e) or type(e).__name__))
+        if held > BATCH or len(rows) >= 4096:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.list_(pa.float64()), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "rate", "samples", "error"])
+
+
 def load(listing: DataFrame) -> DataFrame:
-    """(key, rate, samples, error) of (key, path): a file that can't be decoded has its reason and no signal."""
-    spark = listing.sparkSession
-    paths = [r[0] for r in listing.select("path").distinct().toLocalIterator()] if listing.limit(1).count() else []
-    if not paths:
-        return spark.createDataFrame([], SCHEMA)
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("p"), "content")
-    joined = listing.withColumn("p", F.regexp_replace("path", "^file:/*", "/")).join(files, "p")
-    return decode(joined.select("key", "content"))
+    """(key, rate, samples, error) of (key, path): a file that can't be decoded has its reason and no signal.
+
+    Tasks open the files themselves, by the scheme of their path; nothing of the listing goes to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(path: str) -> tuple[int, np.ndarray]:
+            fs, where = open_at(path)
+            with fs.open_input_stream(where) as f:
+                return decode_wav(f.read())
+
+        yield from _signals((k, partial(read, p)) for b in batches for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+
+    return listing.select(F.col("key").cast("string"), "path").mapInArrow(run, SCHEMA)
 
 
 def decode(media: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
     """(key, rate, samples, error) of a column of WAV files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rate = samples = error = None
-                try:
-                    rate, samples = decode_wav(data)
-                except (wave.Error, ValueError, TypeError, EOFError, struct.error) as e:
-                    error = str(e) or type(e).__name__
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([rate], pa.int32()), pa.array([samples], pa.list_(pa.float64())), pa.array([error], pa.string())], ["key", "rate", "samples", "error"])
+        yield from _signals((k, partial(decode_wav, d)) for b in batches for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
 
     return media.select(F.col(key).cast("string"), F.col(content)).mapInArrow(run, SCHEMA)
 
@@ -73,21 +111,56 @@ def read_ark(spark: SparkSession, scp: str) -> DataFrame:
     return read_scp(spark, scp).select("key", F.regexp_extract("path", r"^(.*?)(?::(\d+))?$", 1).alias("path"), F.coalesce(F.nullif(at, F.lit("")).cast("long"), F.lit(0).cast("long")).alias("offset"))
 
 
+def decode_entry(f) -> tuple[int | None, np.ndarray]:
+    """(rate, samples) of the archive entry at which an open file stands: WAV, or a binary vector or matrix of numbers, whose rate isn't known."""
+    head = f.read(4)
+    if head == b"RIFF":
+        size = f.read(4)
+        return decode_wav(head + size + f.read(struct.unpack("<I", size)[0]))
+    if head[:2] != b"\0B" or head[2:3] not in b"FD" or head[3:4] not in b"VM":
+        raise ValueError("neither WAV nor an uncompressed vector or matrix")
+    f.read(1)
+    kind = np.dtype("<f4" if head[2:3] == b"F" else "<f8")
+    n = 1
+    for _ in range(1 if head[3:4] == b"V" else 2):
+        width, value = struct.unpack("<bi", f.read(5))
+        if width != 4:
+            raise ValueError("sizes of an entry have 4 bytes")
+        n *= value
+    data = f.read(n * kind.itemsize)
+    if len(data) < n * kind.itemsize:
+        raise EOFError("an entry is cut off")
+    return None, np.frombuffer(data, kind).astype(float)
+
+
 def load_ark(listing: DataFrame) -> DataFrame:
-    """(key, rate, samples, error) of archive entries that hold WAV data."""
+    """(key, rate, samples, error) of archive entries (key, path, offset); a matrix's rows come one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, path, at in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                rate = samples = error = None
-                try:
-                    with open(path, "rb") as f:
-                        f.seek(at)
-                        head = f.read(8)
-                        size = struct.unpack("<I", head[4:8])[0] + 8
-                        rate, samples = decode_wav(head + f.read(size - 8))
-                except (OSError, wave.Error, ValueError, EOFError, struct.error) as e:
-                    error = str(e) or type(e).__name__
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([rate], pa.int32()), pa.array([samples], pa.list_(pa.float64())), pa.array([error], pa.string())], ["key", "rate", "samples", "error"])
+        def read(path: str, at: int) -> tuple[int | None, np.ndarray]:
+            fs, where = open_at(path)
+            with fs.open_input_file(where) as f:
+                f.seek(at)
+                return decode_entry(f)
+
+        yield from _signals((k, partial(read, p, o)) for b in batches for k, p, o in zip(*(b.column(c).to_pylist() for c in range(3))))
 
     return listing.select("key", "path", "offset").mapInArrow(run, SCHEMA)
+
+
+def write_signals(signals: DataFrame, folder: str) -> DataFrame:
+    """(key, path): each (key, rate, samples) as a WAV file <key>.wav below a folder; a key's slashes make folders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_at(folder)
+        for batch in batches:
+            keys, paths = batch.column(0).to_pylist(), []
+            for k, r, x in zip(keys, batch.column(1).to_pylist(), batch.column(2)):
+                name = f"{base}/{k}.wav"
+                fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(name) as f:
+                    f.write(encode_wav(r, np.asarray(x.values, float)))
+                paths.append(f"{folder.rstrip('/')}/{k}.wav")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(paths, pa.string())], ["key", "path"])
+
+    return signals.select(F.col("key").cast("string"), "rate", F.col("samples").cast("array<double>")).mapInArrow(run, "key string, path string")

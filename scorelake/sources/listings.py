@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
-from pathlib import Path
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.sources.audio import is_file
+
 AUDIO = ("*.flac", "*.wav")
 
 
@@ -26,14 +29,20 @@ def parsed_lines(lines: DataFrame, line: str = "value", order: str | None = None
     return rows.groupBy("key").agg(F.max_by(value, "__n").alias(value))
 
 
+def _in_order(spark: SparkSession, path: str) -> DataFrame:
+    """(value, place) of the lines of a file or folder: places follow files by name, and lines in a file."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    return spark.read.text(path).select("value", place.alias("place"))
+
+
 def read_scp(spark: SparkSession, path: str) -> DataFrame:
-    """(key, path) of a listing; it is one file, read in one task, so that line order is kept."""
-    return parsed_lines(spark.read.option("wholetext", False).text(path).coalesce(1))
+    """(key, path) of a listing, read in as many tasks as it has blocks."""
+    return parsed_lines(_in_order(spark, path), order="place")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(key, text) of a transcript file."""
-    return parsed_lines(spark.read.text(path).coalesce(1), value="text", pipes=True)
+    return parsed_lines(_in_order(spark, path), order="place", value="text", pipes=True)
 
 
 def read_directory(spark: SparkSession, root: str, patterns: tuple[str, ...] = AUDIO) -> DataFrame:
@@ -78,8 +87,13 @@ def read_csv_list(spark: SparkSession, path: str, column: str = "file_path", exi
     names = rows.select(F.trim(column).alias("path")).filter("path is not null and path != ''")
     if not existing:
         return names
-    there = F.udf(lambda p: Path(p).is_file(), "boolean")
-    return names.filter(there("path"))
+
+    def there(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([p for p in paths if is_file(p)], pa.string())], ["path"])
+
+    return names.mapInArrow(there, "path string")
 
 
 def transcripts_from_librispeech(spark: SparkSession, root: str) -> DataFrame:
@@ -91,3 +105,20 @@ def transcripts_from_librispeech(spark: SparkSession, root: str) -> DataFrame:
 def write_scp(df: DataFrame, path: str, value: str = "path") -> None:
     """Lines of key and value, sorted by key, in one file as its readers expect."""
     df.orderBy("key").select(F.concat_ws(" ", "key", value).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def transcripts_from_folder(spark: SparkSession, root: str, pattern: str = "*.txt") -> DataFrame:
+    """(key, text) of one text file an item, the key being the file's name without ending."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root, wholetext=True)
+    return found.select(F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("key"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("text"))
+
+
+def fixed_splits(signals: DataFrame, seconds: float, samples: str = "samples", rate: str = "rate") -> DataFrame:
+    """(key, source, part, samples, rate): a recording cut into parts of ``seconds`` without overlap, the last one as long as it is.
+
+    Keys are <source>_<part>, parts count from 0, and there are as many as the length over ``seconds`` rounded up.
+    """
+    size = F.round(F.lit(seconds) * F.col(rate)).cast("int")
+    parts = F.when(F.size(samples) > 0, F.sequence(F.lit(0), F.ceil(F.size(samples) / size).cast("int") - 1))
+    cut = signals.withColumn("part", F.explode(parts))
+    return cut.select(F.concat_ws("_", "key", "part").alias("key"), F.col("key").alias("source"), "part", F.slice(samples, F.col("part") * size + 1, size).alias(samples), rate)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scorelake.functions.columns import INF
 from scorelake.operators.scores import encoded_infinities
 from scorelake.operators.standardize import repair_quotes
+from scorelake.sources.audio import open_at
 
 #: NaN and infinities that JSON lacks are quoted before a line is parsed.
 _SPECIAL = r'(:\s*|[\[,]\s*)(-?Infinity|NaN)(?=\s*[,}\]])'
@@ -60,10 +61,14 @@ def bad_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    """(key, line): the last line of every key of a result file, for resuming; bad lines are skipped."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"))
+    """(key, line): the last line of every key of a result file or folder, for resuming; bad lines are skipped.
+
+    Files come in the order in which they were written, lines in that of their file.
+    """
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_name", "_metadata.file_block_start", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place.alias("place"))
     keyed = lines.withColumn("key", F.try_variant_get(variant(F.col("value")), "$.key", "string")).filter("key is not null")
-    return keyed.groupBy("key").agg(F.max_by("value", "n").alias("line"))
+    return keyed.groupBy("key").agg(F.max_by("value", "place").alias("line"))
 
 
 def literal_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -152,6 +157,25 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def replace_jsonl(df: DataFrame, path: str) -> None:
+    """The whole table as JSON lines in place of what is at ``path``: written beside it first, then renamed, so readers never see a part."""
+    import uuid
+
+    from scorelake.plans.session import file_system
+
+    made = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    write_jsonl(df, made)
+    fs, target = file_system(df.sparkSession, path)
+    _, new = file_system(df.sparkSession, made)
+    _, old = file_system(df.sparkSession, made + "-old")
+    had = fs.exists(target)
+    if had:
+        fs.rename(target, old)
+    fs.rename(new, target)
+    if had:
+        fs.delete(old, True)
+
+
 def write_analysis(df: DataFrame, path: str) -> None:
     """JSON lines with infinities as text."""
     encoded_infinities(df).write.mode("overwrite").json(path)
@@ -163,14 +187,25 @@ def write_statistics(df: DataFrame, path: str) -> None:
 
 
 def write_corpus(row: dict[str, float], path: str) -> None:
-    with open(path, "w") as f:
-        yaml.safe_dump(row, f)
+    """Scores of a corpus as a YAML file, at a path or URI."""
+    fs, where = open_at(path)
+    with fs.open_output_stream(where) as f:
+        f.write(yaml.safe_dump(row).encode())
+
+
+def _yaml(path: str):
+    fs, where = open_at(path)
+    with fs.open_input_stream(where) as f:
+        return yaml.safe_load(f.read())
+
+
+def read_corpus(path: str) -> dict[str, float]:
+    return _yaml(path) or {}
 
 
 def read_config(path: str) -> list[dict]:
     """The list of metrics to apply, each with its options."""
-    with open(path) as f:
-        found = yaml.safe_load(f)
+    found = _yaml(path)
     if not isinstance(found, list) or not all(isinstance(x, dict) and "name" in x for x in found):
         raise ValueError("a configuration is a list of metrics with a name each")
     return found

@@ -53,9 +53,3 @@ def test_configuration_reaches_the_scores(spark):
         signal.chroma_fields(["vqt"])
     one, two = run(name="pysepm"), run(name="pysepm", frame_len=0.06, overlap=0.5)
     assert one["pysepm_llr"] != two["pysepm_llr"] and one["pysepm_ncm"] == two["pysepm_ncm"]
-
-
-@pytest.mark.parametrize("name", ["signal_metrics", "intelligibility", "enhancement_metrics", "chroma_alignment"])
-def test_signal_queries(spark, name):
-    df = catalog.queries()[name](spark, "/root/testdata/sf0.001").limit(2)
-    assert df.count() == 2
