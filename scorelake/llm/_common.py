@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a batch between Spark and Python, where the session sets no bound of its own.
@@ -49,6 +49,19 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order, name: str) -> DataFrame:
+    """Rows with their place, from 1 on, in the order given; of rows that tie any may come first.
+
+    The rows are sorted over ranges and written, a file a range; a row's place is the number of rows of
+    the files before plus its place in its own, so no task sees more than its range.
+    """
+    rows = staged(df.orderBy(*order), "numbered").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    # a row a file
+    sizes = rows.groupBy("__file").count()
+    before = sizes.select("__file", (F.sum("count").over(Window.orderBy(F.length("__file"), "__file")) - F.col("count")).alias("__before"))
+    return rows.join(before, "__file").select(*df.columns, (F.col("__before") + F.col("__row") + 1).alias(name))
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``staged`` made; only for tables nothing reads any more."""
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:

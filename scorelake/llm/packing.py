@@ -1,17 +1,17 @@
 """Length buckets with the least padding, and token-budget batches inside each bucket.
 
 The global histogram of lengths goes to the driver (one row a distinct length); dynamic programming
-chooses the bucket boundaries. A document's place in its bucket is the number of shorter ones, known
-from the histogram, plus its rank among those of its own length, so no bucket is sorted as a whole.
+chooses the bucket boundaries. A document's place in its bucket is its place among all, sorted over
+ranges of length and id, less the documents of the buckets before, known from the histogram.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm._common import require, staged
+from scorelake.llm._common import numbered, require, staged
 
 BUCKETS, BUDGET = 8, 8192
 
@@ -70,26 +70,25 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
 
     A batch holds as many rows as fit the budget when padded to the bucket's length, one at least:
     a document longer than the budget is a batch alone. Rows are ordered by length, then id (nulls
-    first); repeated rows each have a slot. An empty table gives no row.
+    first); repeated rows each have a slot. An empty table gives no row. Rows are sorted over ranges of
+    (length, id), so a length that a third of all documents have lies in many tasks.
     """
-    spark = lengths.sparkSession
     lengths = staged(lengths.select("doc_id", "n_tokens"), "lengths")
     histogram = lengths.groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
     if histogram.empty:
         return lengths.select("doc_id", "n_tokens", *(F.lit(None).cast("long").alias(c) for c in ("bucket_len", "batch", "slot")))
     x, n = histogram["n_tokens"].to_numpy(np.int64), histogram["count"].to_numpy(np.int64)
-    bounds = np.array(boundaries(x, n, buckets), np.int64)
-    bucket = np.searchsorted(bounds, x)
-    before = np.cumsum(n) - n
-    first = np.array([before[np.argmax(bucket == b)] for b in range(len(bounds))], np.int64)
-    import pandas as pd
-
-    plan = spark.createDataFrame(pd.DataFrame({"n_tokens": x, "bucket_len": bounds[bucket], "__before": before - first[bucket]}))
-    ranked = lengths.withColumn("__rank", F.row_number().over(Window.partitionBy("n_tokens").orderBy(F.col("doc_id").asc_nulls_first())) - 1)
-    placed = ranked.join(plan, "n_tokens")
+    bounds = boundaries(x, n, buckets)
+    # rows in the buckets before each
+    before = [int(n[x <= low].sum()) for low in [-1, *bounds[:-1]]]
+    bucket = F.when(F.lit(False), F.lit(0))
+    for i, high in enumerate(bounds):
+        bucket = bucket.when(F.col("n_tokens") <= high, F.lit(i))
+    placed = numbered(lengths, F.col("n_tokens"), F.col("doc_id").asc_nulls_first(), name="__place").withColumn("__bucket", bucket)
+    of = lambda values: F.lit([int(v) for v in values])[F.col("__bucket")].cast("long")
+    sized = placed.withColumns({"bucket_len": of(bounds), "__place": F.col("__place") - 1 - of(before)})
     capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_len")))
-    place = F.col("__before") + F.col("__rank")
-    return placed.select("doc_id", "n_tokens", "bucket_len", F.floor(place / capacity).cast("long").alias("batch"), (place % capacity).cast("long").alias("slot"))
+    return sized.select("doc_id", "n_tokens", "bucket_len", F.floor(F.col("__place") / capacity).cast("long").alias("batch"), (F.col("__place") % capacity).cast("long").alias("slot"))
 
 
 def oracle(buckets: int = BUCKETS, budget: int = BUDGET) -> str:
