@@ -4,7 +4,8 @@ Every document gets K minima over its word shingles. Bands of full minima propos
 each minimum only the low b bits stay, packed into one binary value, and the share of equal b-bit
 cells, corrected for the chance 2^-b that two cells agree by accident, estimates the Jaccard
 similarity. Documents with equal minima are one node before bands are formed, and inside a bucket
-only the edges that connect it are emitted, so that a group of n copies costs about n edges.
+only the edges that connect it are emitted, so that a group of n copies costs about n edges. A bucket
+of any size is compared in lists of bounded length.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from scorelake.llm._common import mapped, require, staged
 from scorelake.llm.graph import components
 
 SHINGLE, HASHES, BITS, BANDS, THRESHOLD = 3, 126, 2, 42, 0.45
+#: Nodes of a bucket that one list may hold; larger buckets go by blocks.
+BUCKET = 4096
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _BLOCK = 1 << 14
 
@@ -126,34 +129,130 @@ def bucket_edges(nodes: np.ndarray, sigs: np.ndarray, threshold: float) -> list[
     return out
 
 
-def edges(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity) from nodes (node, sig, bands)."""
-    buckets = nodes.select(F.explode("bands").alias("band"), F.struct("node", "sig").alias("x")).groupBy("band").agg(F.collect_list("x").alias("x")).filter(F.size("x") > 1).select("x")
+def cross_edges(nodes: np.ndarray, sigs: np.ndarray, roots: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """Edges between the two sides of a cell (0 and 1) that join different roots, one for each pair of roots.
+
+    Roots joined on the way count as one, so most comparisons of a cell fall away once its groups meet.
+    """
+    out, root = [], roots.copy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for at in left:
+        other = right[root[right] != root[at]]
+        if not len(other):
+            continue
+        sim = similarity(sigs[at], sigs[other])
+        hit = np.flatnonzero(sim >= threshold)
+        for x in hit[np.unique(root[other[hit]], return_index=True)[1]]:
+            out.append((int(nodes[at]), int(nodes[other[x]]), float(sim[x])))
+        root[np.isin(root, root[other[hit]])] = root[at]
+    return out
+
+
+_EDGES = "a long, b long, similarity double"
+
+
+def _edge_batch(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    a, b, sim = zip(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+
+
+def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(nodes, signatures, starts, stops, structs) of a column of lists of structs of node and sig."""
+    lists = batch.column(0)
+    inner = lists.flatten()
+    node = inner.field(0).to_numpy(zero_copy_only=False)
+    sig = np.frombuffer(b"".join(inner.field(1).to_pylist()), np.uint8).reshape(len(node), -1)
+    stop = np.cumsum(np.asarray(lists.value_lengths()))
+    return node, sig, stop - np.asarray(lists.value_lengths()), stop, inner
+
+
+def _within(groups: DataFrame, threshold: float) -> DataFrame:
+    """Edges inside each list of a column of lists of bounded length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            inner = lists.flatten()
-            node = inner.field(0).to_numpy(zero_copy_only=False)
-            raw = inner.field(1)
-            sig = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(node), -1)
-            sizes = np.asarray(lists.value_lengths())
-            stop = np.cumsum(sizes)
-            start = stop - sizes
-            pairs = start[sizes == 2]
+            node, sig, start, stop, _ = _lists(batch)
+            pairs = start[stop - start == 2]
             found: list[tuple[int, int, float]] = []
             if len(pairs):
                 sim = similarity(sig[pairs], sig[pairs + 1])
                 ok = sim >= threshold
                 found += zip(node[pairs][ok].tolist(), node[pairs + 1][ok].tolist(), sim[ok].tolist())
-            for s, e in zip(start[sizes > 2], stop[sizes > 2]):
+            for s, e in zip(start[stop - start > 2], stop[stop - start > 2]):
                 found += bucket_edges(node[s:e], sig[s:e], threshold)
             if found:
-                a, b, sim = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+                yield _edge_batch(found)
+
+    return mapped(groups, run, _EDGES)
+
 
-    found = mapped(buckets, run, "a long, b long, similarity double").filter("a != b")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
+def _between(cells: DataFrame, threshold: float) -> DataFrame:
+    """Edges between the sides of each cell, of lists of (node, sig, root, side)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, sig, start, stop, inner = _lists(batch)
+            root, side = (inner.field(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            for s, e in zip(start, stop):
+                found = cross_edges(node[s:e], sig[s:e], root[s:e], side[s:e], threshold)
+                if found:
+                    yield _edge_batch(found)
+
+    return mapped(cells, run, _EDGES)
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(band, node, size) of the buckets of two nodes and more.
+
+    Sizes are counted first, from keys alone: what most nodes are alone in goes no further, and
+    signatures come only to nodes that share a bucket.
+    """
+    each = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return each.join(shared, "band").select("band", "node", "size")
+
+
+def edges(nodes: DataFrame, threshold: float = THRESHOLD, most: int = BUCKET) -> DataFrame:
+    """(a, b, similarity) from nodes (node, sig, bands): edges that connect what all pairs of a bucket would connect.
+
+    A bucket of up to ``most`` nodes is one list. A larger one is cut into blocks of about half as many:
+    nodes are joined within their block, and then the least nodes of the blocks' groups with one another,
+    in blocks again. Where that leaves a bucket in more than one group, all pairs of its blocks are
+    compared, nodes of one group apart. So no list exceeds ``most`` by more than chance, and no pair that
+    could matter is left out.
+    """
+    nodes = staged(nodes, "nodes")
+    sigs = nodes.select("node", "sig")
+    shared = staged(buckets(nodes).join(sigs, "node"), "buckets")
+    item = F.struct("node", "sig")
+    small = _within(shared.filter(F.col("size") <= most).groupBy("band").agg(F.collect_list(item).alias("x")).select("x"), threshold)
+    hot = shared.filter(F.col("size") > most)
+    if hot.isEmpty():
+        return _tidy(small)
+    half = max(2, most // 2)
+    salted = lambda df, size: df.withColumn("block", F.pmod(F.xxhash64("node", "band"), F.ceil(size / half).cast("long")).cast("int")).withColumn("blocks", F.ceil(size / half).cast("int"))
+    cut = staged(salted(hot, F.col("size")), "blocks")
+    inside = staged(_within(cut.groupBy("band", "block").agg(F.collect_list(item).alias("x")).select("x"), threshold).unionByName(small), "inside")
+    # the least node of each group of a bucket stands for it
+    first = components(inside.select("a", "b"))
+    rooted = lambda df, found: df.join(found.withColumnRenamed("root", "r"), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    leaders = rooted(cut, first).groupBy("band", "root").agg(F.min(item).alias("x")).select("band", "root", "x.node", "x.sig")
+    counted = leaders.join(leaders.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "band")
+    among = _within(salted(counted, F.col("size")).groupBy("band", "block").agg(F.collect_list(item).alias("x")).select("x"), threshold)
+    joined = staged(inside.unionByName(among), "joined")
+    # buckets that are still in several groups: every pair of their blocks
+    again = rooted(cut, components(joined.select("a", "b")))
+    open_ = again.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
+    rest = again.join(open_, "band")
+    with_all = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    low = rest.select("band", F.struct("node", "sig", "root", F.lit(0).alias("side")).alias("x"), F.col("block").alias("i"), with_all.alias("j")).filter("i <= j")
+    high = rest.select("band", F.struct("node", "sig", "root", F.lit(1).alias("side")).alias("x"), with_all.alias("i"), F.col("block").alias("j")).filter("i <= j")
+    cells = low.unionByName(high).groupBy("band", "i", "j").agg(F.collect_list("x").alias("x")).select("x")
+    return _tidy(joined.unionByName(_between(cells, threshold)))
+
+
+def _tidy(found: DataFrame) -> DataFrame:
+    return found.filter("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def membership(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
