@@ -1,4 +1,4 @@
-"""Signals: PCM WAV files and uncompressed Kaldi archives as (key, rate, samples)."""
+"""Signals: WAV and FLAC files and uncompressed archives as (key, rate, samples)."""
 
 from __future__ import annotations
 
@@ -31,6 +31,16 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
     return rate, x / 32767 if width == 2 else x
 
 
+def decode_signal(data: bytes) -> tuple[int, np.ndarray]:
+    """(rate, first channel) of a WAV or FLAC file."""
+    if data is not None and data[:4] == b"fLaC":
+        from scorelake.sources.flac import decode_flac
+
+        rate, width, x = decode_flac(data)
+        return rate, x[:, 0] / 32767 if width == 16 else x[:, 0].astype(float)
+    return decode_wav(data)
+
+
 def encode_wav(rate: int, samples: np.ndarray) -> bytes:
     """16-bit mono WAV; values are cut to [-1, 1]."""
     out = io.BytesIO()
@@ -63,7 +73,7 @@ def _signals(found: Iterator[tuple[str, Callable[[], tuple[int | None, np.ndarra
             rate, samples = read()
             rows.append((key, rate, samples, None))
             held += len(samples)
-        except (OSError, wave.Error, ValueError, TypeError, EOFError, struct.error, pa.ArrowException) as e:
+        except (OSError, wave.Error, ValueError, TypeError, EOFError, IndexError, struct.error, pa.ArrowException) as e:
             rows.append((key, None, None, str(e) or type(e).__name__))
         if held > BATCH or len(rows) >= 4096:
             yield _batch(rows)
@@ -87,7 +97,7 @@ def load(listing: DataFrame) -> DataFrame:
         def read(path: str) -> tuple[int, np.ndarray]:
             fs, where = open_at(path)
             with fs.open_input_stream(where) as f:
-                return decode_wav(f.read())
+                return decode_signal(f.read())
 
         yield from _signals((k, partial(read, p)) for b in batches for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
 
@@ -95,10 +105,10 @@ def load(listing: DataFrame) -> DataFrame:
 
 
 def decode(media: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
-    """(key, rate, samples, error) of a column of WAV files."""
+    """(key, rate, samples, error) of a column of WAV or FLAC files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _signals((k, partial(decode_wav, d)) for b in batches for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        yield from _signals((k, partial(decode_signal, d)) for b in batches for k, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
 
     return media.select(F.col(key).cast("string"), F.col(content)).mapInArrow(run, SCHEMA)
 
