@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from scorelake.functions.columns import cosine
+from pyspark.sql import types as T
 
 
 def last_wins(df: DataFrame, order: Column | str, key: str = "key") -> DataFrame:
@@ -74,15 +76,35 @@ def merge_metrics(keys: DataFrame, frames: Iterable[DataFrame], key: str = "key"
     return picked.filter("__listed").drop("__listed")
 
 
-def all_pairs(items: DataFrame, key: str = "key", vector: str = "embedding", blocks: int = 8) -> DataFrame:
-    """(a, b, similarity): cosine of every pair a < b, over a grid of blocks so that no task holds a whole side.
+def all_pairs(items: DataFrame, key: str = "key", vector: str = "embedding", rows: int = 2048) -> DataFrame:
+    """(a, b, similarity): cosine of every pair a < b, over pairs of blocks of about ``rows`` so that no task holds a whole side.
 
-    Its output is quadratic; above some 100,000 items use a nearest-neighbour search instead.
+    Each pair of blocks meets once and is one product of matrices. Vectors of one length, keys without
+    repetition; a norm of 0 gives NaN. The output is quadratic; above some 100,000 items use a
+    nearest-neighbour search instead.
     """
-    base = items.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    left = base.select(F.col("k").alias("a"), F.col("v").alias("va"), F.col("block").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("j"))
-    right = base.select(F.col("k").alias("b"), F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.col("block").alias("j"))
-    return left.join(right, ["i", "j"]).filter("a < b").select("a", "b", cosine("va", "vb").alias("similarity"))
+    kind = items.schema[key].dataType
+    blocks = max(1, -(-items.count() // rows))
+    base = items.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
+    upto = F.lit(blocks - 1)
+    left = base.select("k", "v", F.col("block").alias("i"), F.explode(F.sequence("block", upto)).alias("j"))
+    right = base.select(F.col("k").alias("l"), F.col("v").alias("w"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"), F.col("block").alias("q"))
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("similarity", T.DoubleType())])
+
+    def cell(where: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.table({"a": one["k"].slice(0, 0), "b": one["k"].slice(0, 0), "similarity": pa.array([], pa.float64())})
+        x, y = np.array(one["v"].to_pylist(), float), np.array(two["w"].to_pylist(), float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            similarity = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
+        a, b = (np.repeat(np.arange(len(x)), len(y)), np.tile(np.arange(len(y)), len(x)))
+        table = pa.table({"a": one["k"].take(pa.array(a)), "b": two["l"].take(pa.array(b)), "similarity": similarity.reshape(-1)})
+        least = pc.less(table["a"], table["b"])
+        if where[0].as_py() == where[1].as_py():
+            return table.filter(least)
+        return pa.table({"a": pc.if_else(least, table["a"], table["b"]), "b": pc.if_else(least, table["b"], table["a"]), "similarity": table["similarity"]})
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("p", "q")).applyInArrow(cell, schema)
 
 
 def sizes(one: DataFrame, two: DataFrame) -> DataFrame:

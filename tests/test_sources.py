@@ -157,3 +157,22 @@ def test_plain_functions(spark, gen, tmp_path):
     path = str(tmp_path / "corpus.yaml")
     found = facade.corpus_scoring(vectors, facade.load_corpus_modules([{"name": "fad", "use_inf": False}, {"name": "kid"}, {"name": "clap"}]), vectors, path=path)
     assert sorted(found) == ["fad_overall", "kid"] and found == files.read_corpus(path) and abs(found["fad_overall"]) < 1e-6
+
+
+def test_merged_tables_keep_the_last_row_over_several_runs(spark, tmp_path):
+    from scorelake.streaming import incremental
+
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    schema = "key long, n long, value string"
+    assert incremental.latest(spark, target) is None
+    want: dict[int, tuple] = {}
+    for run in range(4):
+        rows = [(k, 100 * run + k % 7, f"{run}-{k}") for k in range(run * 10, run * 10 + 25)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = incremental.stream_table(spark, source, spark.createDataFrame([], schema).schema)
+        incremental.merge_latest(stream, target, check, "n", buckets=4).awaitTermination()
+        want |= {k: (k, n, v) for k, n, v in rows}
+        got = incremental.latest(spark, target)
+        assert got.columns == ["key", "n", "value"] and sorted(map(tuple, got.collect())) == sorted(want.values())
+    held = incremental._bucket_paths(spark, target)
+    assert sorted(held) == [0, 1, 2, 3] and max(map(len, held.values())) <= 2
