@@ -5,11 +5,12 @@ a_d = tokens_d * posterior_d, projected gradient descent finds nonnegative docum
 minimise the squared distance of sum_d r_d a_d from the target token totals. The distance is
 weighted by the inverse of sum_d tokens_d p_d p_d', the gradient is taken per token: then the step
 length is 1, one step is exact where no rate is held at 0, and a document's rate is a function of
-its posterior alone, so a round is one narrow pass that sums one vector a partition.
+its posterior alone, so a round is one narrow pass that sums a vector and a matrix a partition.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from scorelake.llm import _text
 from scorelake.llm._common import fresh, mapped, require, share, staged
 
+log = logging.getLogger(__name__)
 #: Bound of the labelled sample that the classifier is fitted on.
 LABEL_ROWS = 3_000
 DIM_BITS = 16
@@ -138,39 +140,63 @@ def rates_of(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def _sums(table: DataFrame, k: int, steps: list[np.ndarray], moments: bool) -> np.ndarray:
-    """sum_d r_d tokens_d p_d; with ``moments`` also the upper sum_d tokens_d p_d p_d', flattened."""
-    width = k + (k * k if moments else 0)
+def _sums(table: DataFrame, k: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sum_d r_d tokens_d p_d, sum_d tokens_d p_d p_d' over the documents whose rate isn't 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
+        total = np.zeros(k + k * k)
         for batch in batches:
             p = batch.column(1).flatten().to_numpy().reshape(-1, k)
             tokens = batch.column(0).to_numpy().astype(float)
-            total[:k] += (rates_of(p, steps) * tokens) @ p
-            if moments:
-                total[k:] += (p * tokens[:, None]).T.dot(p).reshape(-1)
+            r = rates_of(p, steps)
+            total[:k] += (r * tokens) @ p
+            total[k:] += (p * (tokens * (r > 0))[:, None]).T.dot(p).reshape(-1)
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["x"])
 
     parts = mapped(table.select("n_tokens", "posterior"), run, "x array<double>")
-    row = parts.agg(*(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(width))).first()
-    return np.array([v or 0.0 for v in row])
+    row = parts.agg(*(F.sum(F.col("x")[i]).alias(f"x{i}") for i in range(k + k * k))).first()
+    got = np.array([v or 0.0 for v in row])
+    return got[:k], got[k:].reshape(k, k)
 
 
 def solve(table: DataFrame, targets: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray]:
-    """(gradient steps, reached token totals) for targets that are shares of all tokens."""
+    """(gradient steps, reached token totals) for targets that are shares of all tokens.
+
+    A round's step is scaled by the documents whose rate isn't 0; where that step doesn't bring the totals
+    nearer, the one scaled by all documents, which always does, takes its place. Rounds end where
+    every total is within ``tolerance`` of all tokens. Targets that no nonnegative rates reach, or that
+    ``rounds`` rounds don't, are approached as far as that goes, which is logged.
+    """
     k = len(targets)
-    first = _sums(table, k, [], True)
-    reached, h = first[:k], first[k:].reshape(k, k)
+    reached, h = _sums(table, k, [])
     total = reached.sum()
     if total <= 0:
         return [], reached
     goal = targets * total
-    weight = np.linalg.inv(h + np.eye(k) * 1e-9 * np.trace(h))
+    inverse = lambda m: np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(h))
+    weight = inverse(h)
+    far = lambda x: float((x - goal) @ weight @ (x - goal))
     steps: list[np.ndarray] = []
-    while len(steps) < rounds and np.abs(reached - goal).max() > tolerance * total:
-        steps.append(weight @ (reached - goal))
-        reached = _sums(table, k, steps, False)
+    active, used = h, 0
+    while np.abs(reached - goal).max() > tolerance * total:
+        if used >= rounds:
+            log.warning("after %d rounds a domain's tokens are %.2f %% of all tokens off their target", used, 100 * np.abs(reached - goal).max() / total)
+            break
+        for scale in (inverse(active), weight):
+            step = scale @ (reached - goal)
+            new, seen = _sums(table, k, [*steps, step])
+            used += 1
+            if far(new) < far(reached):
+                break
+        else:
+            log.warning("a domain's tokens are %.2f %% of all tokens off their target, and no step brings them nearer", 100 * np.abs(reached - goal).max() / total)
+            break
+        gain = far(reached) - far(new)
+        steps.append(step)
+        reached, active = new, seen
+        if gain < 1e-9 * far(reached):
+            log.warning("the nearest that nonnegative rates come leaves a domain's tokens %.2f %% of all tokens off their target", 100 * np.abs(reached - goal).max() / total)
+            break
     return steps, reached
 
 
@@ -184,7 +210,8 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """(doc_id, n_tokens, domain, posterior, rate) of every row of ``docs``.
 
     ``targets`` maps domains to weights; those of unknown domains are dropped, the rest scaled to 1.
-    Null ids and repeated rows have rates like any other; a null text has no tokens.
+    Null ids and repeated rows have rates like any other; a null text has no tokens. ``domain`` is the
+    likeliest, of equally likely ones the first by name.
     """
     model = train_domains(docs, labels)
     table = staged(posteriors(docs, model), "posteriors")
