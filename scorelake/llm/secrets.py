@@ -35,7 +35,8 @@ PROVIDERS = re.compile(
     r"|(?P<maps>\bAIza[0-9A-Za-z_-]{35}\b)"
     r"|(?P<pay>\b[rs]k_(?:live|test)_[0-9A-Za-z]{16,}\b)"
     r"|(?P<web>\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"
-    r"|(?P<pem>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+    r"|(?P<pem>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:\s|\\n)++[A-Za-z-]{1,20}+: [^\s\\]*+){0,3}+(?:(?:\s|\\n)++[A-Za-z0-9+/=]{16,}+)*+"
+    r"(?:(?:(?:\s|\\n)++[A-Za-z0-9+/=]++)?(?:\s|\\n)*+-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"
 )
 #: Every match of PROVIDERS holds one of these, and looking for them is much cheaper.
 _LITERALS = ("AKIA", "ASIA", "gho_", "ghp_", "ghr_", "ghs_", "ghu_", "xox", "AIza", "k_live_", "k_test_", "eyJ", "-----BEGIN")
