@@ -7,6 +7,7 @@ and samples. Both byte orders and 64-bit offsets are read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,10 @@ from scorelake.llm._common import mapped, require
 _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8, 18: 8}
 _FORM = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 NAMES = {1: "none", 5: "lzw", 8: "deflate", 32773: "packbits", 32946: "deflate"}
-MOST_SAMPLES = 1 << 28
+#: Samples that an array of a row can hold.
+MOST_SAMPLES = (1 << 31) - 16
+#: Bytes that a byte of each compression can stand for at most.
+_GROWTH = {1: 1, 5: 4096, 8: 1040, 32773: 64, 32946: 1040}
 
 
 def unpackbits(data: bytes, size: int) -> bytes:
@@ -40,10 +44,12 @@ def unpackbits(data: bytes, size: int) -> bytes:
     return bytes(out[:size])
 
 
+_SINGLE = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
 def unlzw(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; the width grows one code early."""
-    table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
-    base = table[:]
+    table = _SINGLE[:]
     out: list[bytes] = []
     total, width, acc, bits, last = 0, 9, 0, 0, b""
     for byte in data:
@@ -57,7 +63,7 @@ def unlzw(data: bytes, size: int) -> bytes:
         if code == 257:
             break
         if code == 256:
-            table, width, last = base[:], 9, b""
+            table, width, last = _SINGLE[:], 9, b""
             continue
         if code < len(table):
             entry = table[code]
@@ -77,61 +83,55 @@ def unlzw(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
+_RUN = re.compile(rb"(.)\1{1,127}", re.DOTALL)
+
+
 def packbits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and data[j] == data[i]:
-            j += 1
-        if j - i > 1:
-            out += bytes([257 - (j - i), data[i]])
-        else:
-            while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-                j += 1
-            out += bytes([j - i - 1]) + data[i:j]
-        i = j
+    """Runs of 2 to 128 equal bytes, and what lies between them in pieces of up to 128."""
+    out, at = bytearray(), 0
+    for m in [*_RUN.finditer(data), None]:
+        stop = m.start() if m else len(data)
+        for i in range(at, stop, 128):
+            piece = data[i : min(stop, i + 128)]
+            out.append(len(piece) - 1)
+            out += piece
+        if m:
+            at = m.end()
+            out += bytes([257 - (at - stop), data[stop]])
     return bytes(out)
 
 
 def lzw(data: bytes) -> bytes:
-    table = {bytes([i]): i for i in range(256)}
-    out, acc, bits, width, size, now = bytearray(), 256, 9, 9, 258, b""
-
-    def emit(code: int) -> None:
-        nonlocal acc, bits
-        acc = (acc << width) | code
-        bits += width
-
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if now + c in table:
-            now += c
+    table: dict[int, int] = {}  # code of a beginning and the byte after it -> code of both
+    out, acc, bits, width, size, now = bytearray(), 256, 9, 9, 258, -1
+    for c in data:
+        if now < 0:
+            now = c
+            continue
+        both = table.get(now << 8 | c)
+        if both is not None:
+            now = both
             continue
-        emit(table[now])
-        table[now + c] = size
+        acc, bits = acc << width | now, bits + width
+        table[now << 8 | c] = size
         size += 1
         if size >= (1 << width) and width < 12:
             width += 1
         if size == 4094:
-            emit(256)
-            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+            acc, bits = acc << width | 256, bits + width
+            table, size, width = {}, 258, 9
         now = c
         while bits >= 8:
             bits -= 8
             out.append(acc >> bits & 255)
         acc &= (1 << bits) - 1
-    if now:
-        emit(table[now])
+    if now >= 0:
+        acc, bits = acc << width | now, bits + width
         size += 1
         if size >= (1 << width) and width < 12:
             width += 1
-    emit(257)
-    while bits >= 8:
-        bits -= 8
-        out.append(acc >> bits & 255)
-    if bits:
-        out.append(acc << (8 - bits) & 255)
-    return bytes(out)
+    acc, bits = acc << width | 257, bits + width
+    return bytes(out) + (acc << (-bits % 8)).to_bytes(-(-bits // 8), "big")
 
 
 _DECODE = {1: lambda d, n: d[:n], 5: unlzw, 8: lambda d, n: zlib.decompressobj().decompress(d, n), 32773: unpackbits}
@@ -166,14 +166,16 @@ def directories(data: bytes) -> tuple[str, Iterator[dict[int, tuple | None] | Va
                 yield ValueError("a directory lies beyond the end")
                 return
             tags: dict[int, tuple | None] = {}
-            for q in range(p, p + n * entry, entry):
-                tag, kind = struct.unpack_from(order + "HH", data, q)
-                many = struct.unpack_from(order + offset, data, q + 4)[0]
-                if kind not in _FORM:
+            for tag, kind, many, body in struct.iter_unpack(f"{order}HH{offset}{inline}s", data[p : p + n * entry]):
+                form = _FORM.get(kind)
+                if form is None:
                     continue
                 size = _SIZE[kind] * many
-                where = q + 4 + inline if size <= inline else struct.unpack_from(order + offset, data, q + 4 + inline)[0]
-                tags[tag] = struct.unpack_from(f"{order}{many}{_FORM[kind]}", data, where) if where + size <= len(data) else None
+                if size > inline:
+                    at = struct.unpack(order + offset, body)[0]
+                    tags[tag] = struct.unpack_from(f"{order}{many}{form}", data, at) if at + size <= len(data) else None
+                else:
+                    tags[tag] = struct.unpack_from(f"{order}{many}{form}", body)
             yield tags
             p += n * entry
             if p + struct.calcsize(order + offset) > len(data):
@@ -209,7 +211,7 @@ def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict,
     s, bits, form = one(277, 1), one(258, 1), one(339, 1)
     compression, predictor, planar = one(259, 1), one(317, 1), one(284, 1)
     if width * height * s > MOST_SAMPLES:
-        raise ValueError("a page is too large")
+        raise ValueError("a page has more samples than an array holds")
     if compression not in _DECODE:
         raise ValueError(f"compression {compression}")
     if bits == 1:
@@ -220,6 +222,9 @@ def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict,
         raise ValueError(f"{bits} bits a sample")
     bw, bh = (one(322), one(323)) if tiled else (width, min(height, one(278, height)))
     offsets, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+    # no room is made for samples that the data can't hold
+    if height * -(-width * s * bits // 8) > (min(sum(sizes), len(data) * len(sizes)) + 8) * _GROWTH[compression]:
+        raise ValueError("a strip or tile is cut off")
     across, down = -(-width // bw), -(-height // bh)
     per = 1 if planar == 2 else s
     out = np.zeros((height, width, s), dtype.newbyteorder("="))
@@ -243,6 +248,12 @@ def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict,
     return {"width": width, "height": height, "samples": s, "bits": bits, "format": {1: "uint", 2: "int", 3: "float", 4: "uint"}[form], "compression": NAMES[compression], "predictor": predictor, "blocks": len(offsets), "tiled": tiled}, out
 
 
+def _differences(block: np.ndarray) -> np.ndarray:
+    out = block.copy()
+    out[:, 1:] -= block[:, :-1]
+    return out
+
+
 def encode(pages: list[dict]) -> bytes:
     """A little-endian TIFF of pages {pixels (height x width), compression, predictor, rows or tile}."""
     out = bytearray(b"II*\x00\x00\x00\x00\x00")
@@ -257,13 +268,15 @@ def encode(pages: list[dict]) -> bytes:
             for c in range(0, width, bw):
                 block = x[y : y + bh, c : c + bw]
                 if tile:
-                    block = np.pad(block, ((0, bh - block.shape[0]), (0, bw - block.shape[1])))
+                    whole = np.zeros((bh, bw), block.dtype)
+                    whole[: block.shape[0], : block.shape[1]] = block
+                    block = whole
                 if predictor == 2:
-                    block = np.diff(block, axis=1, prepend=np.zeros((len(block), 1), block.dtype)).astype(block.dtype)
-                raw = block.tobytes()
-                if predictor == 3:
+                    block = _differences(block)
+                elif predictor == 3:
                     planes = np.ascontiguousarray(block.astype(block.dtype.newbyteorder(">"))).view(np.uint8).reshape(len(block), -1, x.itemsize).transpose(0, 2, 1).reshape(len(block), -1)
-                    raw = np.diff(planes, axis=1, prepend=np.zeros((len(block), 1), np.uint8)).astype(np.uint8).tobytes()
+                    block = _differences(planes)
+                raw = block.tobytes()
                 packed = _ENCODE[code](raw)
                 offsets.append(len(out))
                 sizes.append(len(packed))
@@ -297,7 +310,8 @@ def pages(media: DataFrame, key: str, data: str) -> DataFrame:
     A null value has no row. A value that isn't a TIFF has one row, with page -1 and the reason in
     ``error``; a page that can't be decoded has a row with its number and the reason, and the pages
     after it are read. Where the chain of pages breaks, those before have their rows and the page at
-    fault one with the reason. Repeated rows give their pages each time.
+    fault one with the reason. Repeated rows give their pages each time. A page of any size is decoded,
+    up to the 2^31 elements of an array; beyond that it has a row with the reason.
     """
     require(media, key, data)
 
@@ -320,7 +334,7 @@ def pages(media: DataFrame, key: str, data: str) -> DataFrame:
                         about, x = page(value, order, tags)
                         rows.append({"key": k, "page": n, **about, "pixels": x.astype(np.float64).reshape(-1)})
                         held += x.size
-                    except (ValueError, TypeError, LookupError, ArithmeticError, struct.error, zlib.error) as e:
+                    except (ValueError, TypeError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                         rows.append({"key": k, "page": n, "error": str(e)})
                     if held > 1 << 20:
                         yield _batch(rows)
