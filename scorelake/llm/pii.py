@@ -23,6 +23,7 @@ _LOCAL = _ALNUM | frozenset("._%+-'")
 _DOMAIN = _ALNUM | frozenset(".-")
 _UPPER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 _LETTER = _ALNUM - _DIGIT
+_HEX = frozenset("0123456789abcdefABCDEF")
 #: Words between a cue and its value, and the ends of cues such as 'telephone'.
 _FILL = frozenset(("no", "number", "nr", "num", "is", "s", "ephone", "e", "ph"))
 CUES = ("ssn", "iban", "passport", "tel", "phone", "mobile", "fax", "account", "acct")
@@ -103,6 +104,56 @@ def ip_at(text: str, at: int) -> tuple[int, int] | None:
     return (lo, hi) if _edge(text, lo, hi) else None
 
 
+def ip6_at(text: str, at: int) -> tuple[int, int] | None:
+    """The IPv6 address around the colon at ``at``: eight groups, or fewer around one '::', the last two perhaps as an IPv4 address.
+
+    It holds a digit, so that names parted by '::' are none.
+    """
+    lo, hi = at, at
+    while lo > 0 and at - lo < 42 and (text[lo - 1] in _HEX or text[lo - 1] == ":"):
+        lo -= 1
+    while hi < len(text) and hi - at < 42 and (text[hi] in _HEX or text[hi] == ":"):
+        hi += 1
+    groups, tail = 8, None
+    if hi < len(text) and text[hi] == "." and text[hi - 1] in _DIGIT:
+        tail = ip_at(text, hi - 1)
+        if tail is None or tail[0] <= at or text[tail[0] - 1] != ":":
+            return None
+        groups, hi = 6, tail[0] - (text[tail[0] - 2] != ":")
+    # prose may go on with a colon, or begin with one
+    while hi > lo and text[hi - 1] == ":" and text[hi - 2 : hi] != "::":
+        hi -= 1
+    while lo < hi and text[lo] == ":" and text[lo : lo + 2] != "::":
+        lo += 1
+    v = text[lo:hi]
+    halves = v.split("::")
+    parts = [h.split(":") if h else [] for h in halves]
+    if len(halves) > 2 or not all(0 < len(g) <= 4 for h in parts for g in h):
+        return None
+    n = sum(map(len, parts))
+    if n != groups if len(halves) == 1 else not 0 < n + (tail is not None) < groups:
+        return None
+    end = tail[1] if tail else hi
+    return (lo, end) if any(c in _DIGIT for c in text[lo:end]) and _edge(text, lo, end) else None
+
+
+def local_phone_at(text: str, at: int) -> tuple[int, int] | None:
+    """ddd-ddd-dddd, with dots too, or (ddd) ddd-dddd at the digit ``at``, where a group begins: area and exchange from 2 on."""
+    v = text[at : at + 14]
+    opened = at > 0 and text[at - 1] == "("
+    gap = 2 if opened and v[3:5] == ") " else 1
+    if v[3:4] not in ((")",) if opened else ("-", ".")):
+        return None
+    rest = v[3 + gap :]
+    mark = rest[3:4]
+    if mark not in ("-", ".") or not opened and mark != v[3]:
+        return None
+    digits, lo, end = v[:3] + rest[:3] + rest[4:8], at - opened, at + 3 + gap + 8
+    if len(digits) != 10 or not all(c in _DIGIT for c in digits) or digits[0] in "01" or digits[3] in "01":
+        return None
+    return (lo, end) if _edge(text, lo, end) and not (lo > 0 and text[lo - 1] in "-.") and text[end : end + 1] != "-" else None
+
+
 def _digits(text: str, at: int, most: int) -> tuple[int, int, str]:
     """The run of digits around ``at``, in groups that one space or hyphen parts."""
     lo = at
@@ -267,7 +318,7 @@ def _automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for one in ("@", "://", "+"):
+    for one in ("@", "://", "+", ":"):
         a.add_word(one, one)
     for i in range(100):
         a.add_word(f"{i:02d}", "dd")
@@ -284,7 +335,11 @@ _built: list = []
 
 
 def find(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in text order, without overlaps. A null or empty text has none."""
+    """(kind, start, end) in text order, without overlaps. A null or empty text has none.
+
+    Not looked for are names, postal addresses, dates of birth, and numbers of accounts and telephones
+    without a cue, a plus sign or the form that ``local_phone_at`` knows.
+    """
     if not text:
         return []
     if not _built:
@@ -295,6 +350,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         if found:
             out.add((kind, *found))
 
+    colon = -1  # end of the last address with colons
     solid = -1  # end of the last digit run whose pairs were tried
     for last, what in _built[0].iter(text):
         if what == "@":
@@ -310,10 +366,16 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 add("card", found)
             add("ssn", ssn_at(text, lo))
             add("iban", iban_at(text, lo))
+            add("phone", local_phone_at(text, lo))
         elif what == "d.":
             add("ip", ip_at(text, last - 1))
         elif what == "+":
             add("phone", phone_at(text, last))
+        elif what == ":":
+            if last > colon and (last + 1 < len(text) and (text[last + 1] in _HEX or text[last + 1] == ":")):
+                found = ip6_at(text, last)
+                add("ip", found)
+                colon = found[1] if found else last
         elif what == "://":
             add("url_login", url_login_at(text, last - 2))
         else:
