@@ -11,6 +11,7 @@ answered from them without encoding again.
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 
@@ -24,20 +25,23 @@ from scorelake.llm._common import mapped, require
 #: Rank file of a public byte-level BPE; the path is a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Pre-tokens kept, and the bytes of their counts; a longer one than LONG characters isn't kept.
+CACHE, CACHE_BYTES, LONG = 400_000, 32 << 20, 256
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 class Counter(dict):
     """Pre-token -> int32 counts at each of its characters, as bytes; made when first asked for."""
 
-    def __init__(self, vocabulary: str = VOCABULARY) -> None:
+    def __init__(self, vocabulary: str | bytes = VOCABULARY) -> None:
+        """``vocabulary`` is the path of a rank file, or what it holds."""
         import regex
         import tiktoken
 
         super().__init__()
-        with open(vocabulary, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.held = 0
+        lines = contents(vocabulary).splitlines()
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         #: every beginning of a token: its rank, or -1 where it is none itself
         self.trie = {t[:j]: -1 for t in self.ranks for j in range(1, len(t))} | self.ranks
@@ -49,10 +53,13 @@ class Counter(dict):
             self.kind[[ord(c) for c in regex.findall(pattern, chars)]] = kind
 
     def __missing__(self, token: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
         found = self.counts_of(token).tobytes()
-        self[token] = found
+        if len(token) <= LONG:
+            if len(self) >= CACHE or self.held > CACHE_BYTES:
+                self.clear()
+                self.held = 0
+            self[token] = found
+            self.held += len(found)
         return found
 
     def counts_of(self, token: str) -> np.ndarray | array:
@@ -141,22 +148,33 @@ class Counter(dict):
 _counters: dict[str, Counter] = {}
 
 
-def counter(vocabulary: str = VOCABULARY) -> Counter:
-    if vocabulary not in _counters:
-        _counters[vocabulary] = Counter(vocabulary)
-    return _counters[vocabulary]
+def contents(vocabulary: str | bytes) -> bytes:
+    if isinstance(vocabulary, bytes):
+        return vocabulary
+    with open(vocabulary, "rb") as f:
+        return f.read()
+
+
+def counter(vocabulary: str | bytes = VOCABULARY) -> Counter:
+    """The process's counter of a vocabulary."""
+    data = contents(vocabulary)
+    name = hashlib.sha256(data).hexdigest()
+    if name not in _counters:
+        _counters[name] = Counter(data)
+    return _counters[name]
 
 
 def prefix_table(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, changes): changes[i] is the count of the first i + 1 characters less that of the first i.
 
     An empty text has 0 tokens and no change, a null one has nulls. Null ids and repeated rows have
-    a row each.
+    a row each. The vocabulary is read here and sent to the executors once, a file of a few MB.
     """
     require(docs, key, text)
+    sent = docs.sparkSession.sparkContext.broadcast(contents(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(vocabulary)
+        c = counter(sent.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             lo, size, parts = 0, 0, []
