@@ -205,12 +205,31 @@ def librispeech_transcripts(spark, d):
     return listings.transcripts_from_librispeech(spark, folder)
 
 
-@query(f"WITH p AS (SELECT vec_id, {_VEC} AS v, unnest([0, 1, 2]) AS part FROM embeddings) SELECT vec_id || '_' || part AS key, CAST(part AS INTEGER) AS part, CAST(least(25, 64 - 25 * part) AS INTEGER) AS n, round(list_sum(v[25 * part + 1:least(25 * part + 25, 64)]), 6) AS total FROM p")
+_PARTS_SQL = f"WITH p AS (SELECT vec_id, {_VEC} AS v, unnest([0, 1, 2]) AS part FROM embeddings) SELECT vec_id || '_' || [0.0, 0.375, 0.75][part + 1]::DOUBLE || '_' || [0.375, 0.75, 1.0][part + 1]::DOUBLE AS key, CAST(part AS INTEGER) AS part, CAST(least(24, 64 - 24 * part) AS INTEGER) AS n, round(list_sum(v[24 * part + 1:least(24 * part + 24, 64)]), 6) AS total FROM p"
+
+
+@query(_PARTS_SQL)
 def fixed_splits(spark, d):
-    cut = listings.fixed_splits(signals(spark, d), 25 / 64)
+    cut = listings.fixed_splits(signals(spark, d), 0.375)
     return cut.select("key", "part", F.size("samples").alias("n"), r6(C.total("samples")).alias("total"))
 
 
+@query(f"WITH p AS (SELECT vec_id, {_VEC} AS v, unnest([0, 1]) AS part FROM embeddings WHERE label < 2) SELECT 'a_song_' || vec_id || '_' || [0.0, 0.0025][part + 1]::DOUBLE || '_' || [0.0025, 0.004][part + 1]::DOUBLE AS key, CAST([40, 24][part + 1] AS INTEGER) AS n, round(list_sum(list_transform(v[40 * part + 1:[40, 64][part + 1]], lambda x: round_even(x * 32767, 0))) / 32767, 6) AS total FROM p")
+def mixture_parts(spark, d):
+    folder = shared_folder(spark, "mixtures")
+    v = table(spark, d, "embeddings").filter("label < 2").select(F.concat(F.lit("a song "), "vec_id", F.lit("/mixture")).alias("key"), F.lit(16_000).alias("rate"), F.col("embedding").alias("samples"))
+    audio.write_signals(v, folder).count()
+    got = listings.mixtures(spark, folder, 0.0025, 16_000)
+    return got.select("key", F.size("samples").alias("n"), r6(C.total("samples")).alias("total"))
+
+
+@query("SELECT path FROM (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'data/' ELSE 'other/' END || CASE WHEN c_custkey % 3 = 0 THEN 'eval' ELSE 'train' END || c_custkey || CASE WHEN c_custkey % 5 = 0 THEN '.txt' ELSE '.tar' END AS path FROM customer) WHERE path LIKE 'data%eval%.tar'")
+def evaluation_archives(spark, d):
+    k = F.col("c_custkey")
+    name = F.concat(F.when(k % 2 == 0, "data/").otherwise("other/"), F.when(k % 3 == 0, "eval").otherwise("train"), k, F.when(k % 5 == 0, ".txt").otherwise(".tar"))
+    return listings.evaluation_archives(table(spark, d, "customer").select(name.alias("path")))
+
+
 @query("SELECT round(avg(l_tax), 6) AS tax, CAST(count(*) AS BIGINT) AS n FROM lineitem")
 def corpus_file(spark, d):
     row = table(spark, d, "lineitem").agg(F.round(F.avg("l_tax"), 6).alias("tax"), F.count(F.lit(1)).alias("n")).first().asDict()

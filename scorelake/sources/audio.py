@@ -19,26 +19,28 @@ BATCH = 1 << 19
 SCHEMA = "key string, rate int, samples array<double>, error string"
 
 
-def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, first channel): 16-bit samples over 32767, other widths as they are."""
+def decode_wav(data: bytes, mono: bool = False) -> tuple[int, np.ndarray]:
+    """(rate, first channel, or the channels' mean with ``mono``): 16-bit samples over 32767, other widths as they are."""
     with wave.open(io.BytesIO(data)) as w:
         rate, channels, width, n = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.getnframes()
         raw = w.readframes(n)
     kind = {1: np.uint8, 2: np.dtype("<i2"), 4: np.dtype("<i4")}.get(width)
     if kind is None:
         raise ValueError(f"{width * 8} bits a sample")
-    x = np.frombuffer(raw, kind).reshape(-1, channels)[:, 0].astype(float)
+    x = np.frombuffer(raw, kind).reshape(-1, channels).astype(float)
+    x = x.mean(axis=1) if mono else x[:, 0]
     return rate, x / 32767 if width == 2 else x
 
 
-def decode_signal(data: bytes) -> tuple[int, np.ndarray]:
-    """(rate, first channel) of a WAV or FLAC file."""
+def decode_signal(data: bytes, mono: bool = False) -> tuple[int, np.ndarray]:
+    """(rate, first channel or mean) of a WAV or FLAC file."""
     if data is not None and data[:4] == b"fLaC":
         from scorelake.sources.flac import decode_flac
 
         rate, width, x = decode_flac(data)
-        return rate, x[:, 0] / 32767 if width == 16 else x[:, 0].astype(float)
-    return decode_wav(data)
+        x = x.mean(axis=1) if mono else x[:, 0].astype(float)
+        return rate, x / 32767 if width == 16 else x
+    return decode_wav(data, mono)
 
 
 def encode_wav(rate: int, samples: np.ndarray) -> bytes:
@@ -53,8 +55,10 @@ def encode_wav(rate: int, samples: np.ndarray) -> bytes:
 
 
 def open_at(path: str) -> tuple[pafs.FileSystem, str]:
-    """File system and place of a path or URI."""
-    return pafs.FileSystem.from_uri(path if "://" in path else "file:///" + path.removeprefix("file:").lstrip("/"))
+    """File system and place of a path or URI; a local one may hold any characters."""
+    if "://" not in path or path.startswith("file://"):
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/") if path.startswith(("file:", "/")) else path
+    return pafs.FileSystem.from_uri(path.replace(" ", "%20"))
 
 
 def is_file(path: str) -> bool:
@@ -87,7 +91,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "rate", "samples", "error"])
 
 
-def load(listing: DataFrame) -> DataFrame:
+def load(listing: DataFrame, mono: bool = False) -> DataFrame:
     """(key, rate, samples, error) of (key, path): a file that can't be decoded has its reason and no signal.
 
     Tasks open the files themselves, by the scheme of their path; nothing of the listing goes to the driver.
@@ -97,7 +101,7 @@ def load(listing: DataFrame) -> DataFrame:
         def read(path: str) -> tuple[int, np.ndarray]:
             fs, where = open_at(path)
             with fs.open_input_stream(where) as f:
-                return decode_signal(f.read())
+                return decode_signal(f.read(), mono)
 
         yield from _signals((k, partial(read, p)) for b in batches for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
 

@@ -116,9 +116,33 @@ def transcripts_from_folder(spark: SparkSession, root: str, pattern: str = "*.tx
 def fixed_splits(signals: DataFrame, seconds: float, samples: str = "samples", rate: str = "rate") -> DataFrame:
     """(key, source, part, samples, rate): a recording cut into parts of ``seconds`` without overlap, the last one as long as it is.
 
-    Keys are <source>_<part>, parts count from 0, and there are as many as the length over ``seconds`` rounded up.
+    Keys are <source>_<start>_<end> in seconds, parts count from 0, and there are as many as the length
+    over ``seconds`` rounded up.
     """
-    size = F.round(F.lit(seconds) * F.col(rate)).cast("int")
-    parts = F.when(F.size(samples) > 0, F.sequence(F.lit(0), F.ceil(F.size(samples) / size).cast("int") - 1))
+    total = F.size(samples) / F.col(rate)
+    parts = F.when(F.size(samples) > 0, F.sequence(F.lit(0), F.ceil(total / seconds).cast("int") - 1))
     cut = signals.withColumn("part", F.explode(parts))
-    return cut.select(F.concat_ws("_", "key", "part").alias("key"), F.col("key").alias("source"), "part", F.slice(samples, F.col("part") * size + 1, size).alias(samples), rate)
+    start, end = F.col("part") * F.lit(seconds), (F.col("part") + 1) * F.lit(seconds)
+    stop = F.when(end < total, end.cast("string")).otherwise(total.cast("string"))
+    first, last = F.floor(start * F.col(rate)).cast("int"), F.floor(F.least(end, total) * F.col(rate)).cast("int")
+    return cut.select(F.concat_ws("_", "key", start.cast("string"), stop).alias("key"), F.col("key").alias("source"), "part", F.slice(samples, first + 1, last - first).alias(samples), rate)
+
+
+def mixtures(spark: SparkSession, root: str, seconds: float, target: int = 22_050) -> DataFrame:
+    """(key, source, part, samples, rate): every mixture.wav below a folder, its channels' mean at ``target`` Hz, in parts of ``seconds``.
+
+    A recording's key is the name of its folder, spaces as underscores.
+    """
+    from scorelake.functions.signal import resampled
+    from scorelake.sources.audio import load
+
+    found = _listed(spark, root.rstrip("/"), ("mixture.wav",))
+    listing = found.select(F.replace(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.lit(" "), F.lit("_")).alias("key"), "path")
+    signals = load(listing, mono=True).filter("error is null")
+    return fixed_splits(signals.select("key", F.lit(target).alias("rate"), resampled("samples", "rate", F.lit(target)).alias("samples")), seconds)
+
+
+def evaluation_archives(names: DataFrame, name: str = "path") -> DataFrame:
+    """Of the files of a data set's repository the archives of its evaluation part: data..., eval, .tar."""
+    c = F.col(name)
+    return names.filter(c.startswith("data") & c.endswith(".tar") & c.contains("eval"))
