@@ -13,12 +13,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.llm._common import discard, kept_until_exit, mapped, shared_dir, staged
+from scorelake.sources.audio import open_at
 
 #: Bytes of a range, and of what is read beyond it at first; a header that goes on further is read whole.
 SPLIT, LOOK = 8 << 20, 1 << 16
@@ -35,10 +35,6 @@ class Cut(Exception):
     """The header goes on beyond the bytes at hand."""
 
 
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def _header_end(data: bytes, at: int) -> int | None:
     """Where the lines of a header from ``at`` on end, its blank line included; None at a line that no header has."""
     while True:
@@ -114,7 +110,7 @@ def links(ranges: DataFrame, size: int = SPLIT) -> DataFrame:
     """
 
     def read(path: str, total: int, start: int) -> tuple[list[int], list[int]]:
-        fs, where = _open(path)
+        fs, where = open_at(path)
         look = LOOK
         with fs.open_input_file(where) as f:
             end = min(total, f.size())
@@ -189,7 +185,7 @@ def records(files: DataFrame, size: int = SPLIT) -> DataFrame:
                 while at in after:
                     chain.append(at)
                     at = after[at]
-                fs, where = _open(row["path"])
+                fs, where = open_at(row["path"])
                 with fs.open_input_file(where) as f:
                     yield from _payloads(f, row["path"], chain, after, min(row["size"], f.size()), row["start"] + size)
 
@@ -235,7 +231,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _open(folder)
+        fs, base = open_at(folder)
         fs.create_dir(base, recursive=True)
         context = TaskContext.get()
         name = f"part-{context.partitionId()}-{context.taskAttemptId()}"

@@ -50,6 +50,12 @@ def test_repeated_fields_and_line_ends(spark, tmp_path):
     assert [(r["type"], bytes(r["payload"])) for r in got] == [("resource", b"abc"), ("resource", b"")]
 
 
+def test_paths_with_odd_characters(spark, tmp_path):
+    (tmp_path / "a folder").mkdir()
+    got = warc.records(files_of(spark, tmp_path / "a folder", **{"50% #1": warc.record("resource", "urn:page:1", None, b"x")})).collect()
+    assert [bytes(r["payload"]) for r in got] == [b"x"]
+
+
 def test_written_files_are_noted_for_deletion(spark):
     from scorelake.llm import _common
 
