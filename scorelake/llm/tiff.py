@@ -51,35 +51,35 @@ def unlzw(data: bytes, size: int) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; the width grows one code early."""
     table = _SINGLE[:]
     out: list[bytes] = []
-    total, width, acc, bits, last = 0, 9, 0, 0, b""
-    for byte in data:
-        acc = (acc << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = acc >> bits
-        acc &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            table, width, last = _SINGLE[:], 9, b""
-            continue
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and last:
-            entry = last + last[:1]
-        else:
-            raise ValueError("LZW code out of range")
-        if last:
-            table.append(last + entry[:1])
-        out.append(entry)
-        total += len(entry)
-        last = entry
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-        if total >= size:
-            break
+    total, width, mask, grow, last = 0, 9, 511, 511, b""
+    acc = bits = 0
+    for at in range(0, len(data), 128):
+        piece = data[at : at + 128]
+        acc, bits = (acc & ((1 << bits) - 1)) << 8 * len(piece) | int.from_bytes(piece, "big"), bits + 8 * len(piece)
+        while bits >= width:
+            bits -= width
+            code = acc >> bits & mask
+            if code < 256 or 257 < code < len(table):
+                entry = table[code]
+            elif code == 257:
+                return b"".join(out)[:size]
+            elif code == 256:
+                table, width, mask, grow, last = _SINGLE[:], 9, 511, 511, b""
+                continue
+            elif code == len(table) and last:
+                entry = last + last[:1]
+            else:
+                raise ValueError("LZW code out of range")
+            if last:
+                table.append(last + entry[:1])
+                if len(table) >= grow and width < 12:
+                    width += 1
+                    mask = grow = (1 << width) - 1
+            out.append(entry)
+            total += len(entry)
+            last = entry
+            if total >= size:
+                return b"".join(out)[:size]
     return b"".join(out)[:size]
 
 
@@ -202,7 +202,7 @@ def _undo(block: np.ndarray, predictor: int, raw: bytes, shape: tuple[int, int,
 def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict, np.ndarray]:
     """(properties, samples as height x width x samples a pixel)."""
     tiled = 322 in tags
-    if any(tags.get(t, ()) is None for t in (256, 257, 258, 259, 277, 284, 317, 339, *((322, 323, 324, 325) if tiled else (273, 278, 279)))):
+    if None in tags.values() and any(tags.get(t, ()) is None for t in (256, 257, 258, 259, 277, 284, 317, 339, *((322, 323, 324, 325) if tiled else (273, 278, 279)))):
         raise ValueError("a tag's values lie beyond the end")
     one = lambda t, d=None: tags[t][0] if t in tags else d
     width, height = one(256), one(257)
@@ -248,6 +248,9 @@ def page(data: bytes, order: str, tags: dict[int, tuple | None]) -> tuple[dict,
     return {"width": width, "height": height, "samples": s, "bits": bits, "format": {1: "uint", 2: "int", 3: "float", 4: "uint"}[form], "compression": NAMES[compression], "predictor": predictor, "blocks": len(offsets), "tiled": tiled}, out
 
 
+_SHORT, _LONG = struct.Struct("<HHIHxx").pack, struct.Struct("<HHII").pack
+
+
 def _differences(block: np.ndarray) -> np.ndarray:
     out = block.copy()
     out[:, 1:] -= block[:, :-1]
@@ -287,12 +290,12 @@ def encode(pages: list[dict]) -> bytes:
         tags = sorted([*tags, (317, 3, [predictor]), (339, 3, [kind])])
         entries = b""
         for tag, form, values in tags:
-            body = struct.pack(f"<{len(values)}{_FORM[form]}", *values)
-            if len(body) > 4:
-                at = len(out)
-                out += body + b"\x00" * (len(body) % 2)
-                body = struct.pack("<I", at)
-            entries += struct.pack("<HHI", tag, form, len(values)) + body.ljust(4, b"\x00")
+            if len(values) == 1:
+                entries += (_SHORT if form == 3 else _LONG)(tag, form, 1, values[0])
+            else:
+                body = struct.pack(f"<{len(values)}I", *values)
+                entries += _LONG(tag, form, len(values), len(out))
+                out += body
         at = len(out)
         out[link : link + 4] = struct.pack("<I", at)
         out += struct.pack("<H", len(tags)) + entries
