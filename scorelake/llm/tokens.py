@@ -43,8 +43,6 @@ class Counter(dict):
         lines = contents(vocabulary).splitlines()
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("counter", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        #: every beginning of a token: its rank, or -1 where it is none itself
-        self.trie = {t[:j]: -1 for t in self.ranks for j in range(1, len(t))} | self.ranks
         self.apart: dict[int, bool] = {}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
@@ -74,27 +72,38 @@ class Counter(dict):
         return np.array(counts, np.int32)[np.append(ends, len(raw))]
 
     def dynamic(self, raw: bytes) -> list[int]:
-        """Count at each byte, 0 first: from each place the tokens that begin there go on to where they end."""
-        trie, apart = self.trie, self.apart
+        """Count at each byte, 0 first.
+
+        Exactly one token that ends at a place stays apart from what comes before it. The likeliest is tried
+        first: the last token of the place before with one byte more, then shorter ones, then longer ones.
+        """
+        ranks, apart = self.ranks, self.apart
         n = len(raw)
-        counts, last = [0] * (n + 1), [-1] * (n + 1)
-        for i in range(n):
-            before, count = last[i] << 20, counts[i] + 1
-            for j in range(i + 1, n + 1):
-                t = trie.get(raw[i:j])
-                if t is None:
-                    break
-                if t < 0 or last[j] >= 0:
-                    continue
-                if i:
-                    ok = apart.get(before | t)
+        counts, last, start = [0] * (n + 1), [0] * (n + 1), 0
+        for j in range(1, n + 1):
+            i, first = start, start
+            while True:
+                t = ranks.get(raw[i:j])
+                if t is not None:
+                    if not i:
+                        break
+                    pair = last[i] << 20 | t
+                    ok = apart.get(pair)
                     if ok is None:
                         if len(apart) > 1_000_000:
                             apart.clear()
-                        ok = apart[before | t] = self._stay_apart(last[i], t)
-                    if not ok:
-                        continue
-                counts[j], last[j] = count, t
+                        ok = apart[pair] = self._stay_apart(last[i], t)
+                    if ok:
+                        break
+                if i >= first:
+                    i += 1
+                    if i == j:
+                        i = first - 1
+                else:
+                    i -= 1
+                if i < 0:
+                    raise ValueError("the vocabulary lacks single bytes")
+            counts[j], last[j], start = counts[i] + 1, t, i
         return counts
 
     def _stay_apart(self, a: int, b: int) -> bool:

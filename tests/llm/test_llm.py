@@ -64,6 +64,10 @@ def test_odd_and_empty_tables(spark, odd, none, labels):
     assert toxicity.reject(odd, labels).columns == odd.columns
     assert toxicity.score(odd, labels).count() == n
     assert toxicity.score(odd, labels).filter("doc_id = 1").first()["toxic_score"] is None
+    scored = {(r["doc_id"], r["toxic_score"], r["toxic"]) for r in toxicity.score(odd, labels).collect()}
+    assert {x for x in scored if x[0] in (0, 1)} == {(0, 0.0, False), (1, None, False)} and len({x for x in scored if x[0] == 3}) == 1
+    rates = {r["doc_id"]: (r["n_tokens"], r["rate"]) for r in mixing.document_rates(odd, labels).collect()}
+    assert rates[0][0] == rates[1][0] == 0 and rates[5][0] == 200_000 and rates[0][1] == rates[1][1] and min(r for _, r in rates.values()) >= 0
     kept = minhash.deduplicate(odd)
     assert kept.columns == odd.columns
     assert sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None) == [0, 1, 2, 3, 3, 5, 6]
