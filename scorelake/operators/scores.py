@@ -146,7 +146,10 @@ def tree(found: DataFrame, root: str = "Metrics") -> DataFrame:
     leaf = F.col("level") == 0
     name = F.when(F.col("level") == 3, F.lit(root)).when(F.col("level") == 1, F.col("category")).otherwise(F.col("metric_name"))
     parent = F.when(F.col("level") == 3, F.lit("")).when(F.col("level") == 1, F.lit(root)).otherwise(F.col("category"))
-    return rows.select(name.alias("name"), parent.alias("parent"), F.when(leaf, F.lit(1)).otherwise(F.col("n")).cast("long").alias("value"), F.when(leaf, F.col("m")).alias("mean"), F.when(leaf, F.col("s")).alias("std"))
+    nodes = rows.select(name.alias("name"), parent.alias("parent"), F.when(leaf, F.lit(1)).otherwise(F.col("n")).cast("long").alias("value"), F.when(leaf, F.col("m")).alias("mean"), F.when(leaf, F.col("s")).alias("std"))
+    # grouping sets of nothing are nothing: the root is there all the same
+    top = found.sparkSession.range(1).select(F.lit(root).alias("name"), F.lit("").alias("parent"), F.lit(0).cast("long").alias("value"), *(F.lit(None).cast("double").alias(c) for c in ("mean", "std")))
+    return nodes.unionByName(top).groupBy("name", "parent").agg(*(F.max(c).alias(c) for c in ("value", "mean", "std")))
 
 
 def correlation(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
