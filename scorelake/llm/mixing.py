@@ -13,10 +13,11 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -227,24 +228,34 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return mapped(table.select("doc_id", "n_tokens", "posterior"), run, "doc_id long, n_tokens long, domain string, posterior array<double>, rate double")
 
 
+def rate_column(posterior: Column, steps: list[np.ndarray]) -> Column:
+    """``rates_of`` as a column."""
+    r = F.lit(1.0)
+    for g in steps:
+        r = F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, (posterior[k] * float(x) for k, x in enumerate(g))))
+    return r
+
+
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """Rows of ``docs`` each repeated as its rate says, columns as they were.
 
     A rate's fraction is a copy more for that share of documents, by a hash of the id (of the text
-    for a null id), so the same rows come out on every run.
+    for a null id), so the same rows come out on every run. Texts are classified once, and written with
+    their posteriors; rates follow from these without Python.
     """
     model = train_domains(docs, labels)
-    table = staged(posteriors(docs, model), "posteriors")
-    steps, _ = solve(table, _goal(model, targets))
     at = docs.columns.index("text")
-    rate, copy = fresh(docs, "__rate"), fresh(docs, "__copy")
+    tokens, posterior, copy = (fresh(docs, n) for n in ("__tokens", "__posterior", "__copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _text.pieces(batches, at):
-            p, _ = model.posterior(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates_of(p, steps))], [*batch.schema.names, rate])
+            p, count = model.posterior(batch.column(at))
+            cuts = pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count), pa.ListArray.from_arrays(cuts, pa.array(p.reshape(-1)))], [*batch.schema.names, tokens, posterior])
 
-    rated = mapped(docs, run, T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))
+    more = [T.StructField(tokens, T.LongType()), T.StructField(posterior, T.ArrayType(T.DoubleType()))]
+    classified = staged(mapped(docs, run, T.StructType([*docs.schema.fields, *more])), "classified")
+    steps, _ = solve(classified.select(F.col(tokens).alias("n_tokens"), F.col(posterior).alias("posterior")), _goal(model, targets))
     dice = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text")), F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    times = F.floor(F.col(rate) + dice).cast("int")
-    return rated.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).drop(rate, copy)
+    times = F.floor(rate_column(F.col(posterior), steps) + dice).cast("int")
+    return classified.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
