@@ -71,10 +71,10 @@ def sentence_case(text: Column | str) -> Column:
 def timestamp(seconds: Column | str, always_hours: bool = False, mark: str = ".") -> Column:
     """[hh:]mm:ss.mmm; hours appear when there are any, or always."""
     ms = F.bround(col(seconds) * 1000).cast("long")
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")  # noqa: E731 - cuts what is longer
     hours = F.floor(ms / 3600000).cast("long")
     rest = F.concat(pad(F.floor(ms / 60000).cast("long") % 60, 2), F.lit(":"), pad(F.floor(ms / 1000).cast("long") % 60, 2), F.lit(mark), pad(ms % 1000, 3))
-    long = F.concat(pad(hours, 2), F.lit(":"), rest)
+    long = F.concat(F.when(hours < 100, pad(hours, 2)).otherwise(hours.cast("string")), F.lit(":"), rest)
     return long if always_hours else F.when(hours > 0, long).otherwise(rest)
 
 
