@@ -8,6 +8,9 @@ import pytest
 
 from scorelake.functions import columns as C
 from scorelake.functions import signal
+from scorelake.plans import catalog
+
+TABLES = "/root/testdata/sf0.001"
 
 
 def test_clock_times_of_a_hundred_hours_and_more(spark):
@@ -46,3 +49,29 @@ def test_resampling_by_pieces_is_that_of_a_matrix(count, rate, target):
     want = signal._resampling.__wrapped__(count, target // g, rate // g) @ x
     got = signal.resample(x, rate, target)
     assert np.allclose(got, want, atol=1e-12) and np.allclose(signal.resample(x[:, 1], rate, target), want[:, 1], atol=1e-12)
+
+
+def test_distortion_ratios_of_many_rows_are_solved_together(monkeypatch, spark):
+    """By one recursion over the rows, to what elimination gives; a row that can't be scored leaves the others alone."""
+    rng = np.random.default_rng(4)
+    ref = np.stack([np.resize(rng.normal(size=64), 2000), np.convolve(rng.normal(size=2000), [1, 0.9, 0.5], "same"), np.zeros(2000), rng.normal(size=2000)])
+    est = ref + 0.2 * rng.normal(size=ref.shape) * [[1], [1], [1], [0]]
+    want = []
+    for e, t in zip(est, ref):
+        auto = np.correlate(np.pad(t, (0, 511)), t, "valid")
+        gram = auto[np.abs(np.subtract.outer(np.arange(512), np.arange(512)))] + 1e-10 * max(auto[0], signal.EPS) * np.eye(512)
+        target = np.convolve(np.linalg.solve(gram, np.correlate(np.pad(e, (0, 511)), t, "valid")), t)
+        noise = np.pad(e, (0, 511)) - target
+        want.append(10 * math.log10(max(target @ target, signal.EPS) / max(noise @ noise, signal.EPS)))
+    monkeypatch.setattr(np.linalg, "solve", lambda *a: pytest.fail("a row was solved alone"))
+    assert signal._ci_sdrs(est[:3], ref[:3], 512) == pytest.approx(want[:3], abs=1e-6)
+    assert want[3] > 80 and signal._ci_sdrs(est, ref, 512)[3] > 80
+    rows = [("a", 8, [1.0, 2.0, 4.0], [1.0, 3.0]), ("b", 8, [], [1.0]), ("c", None, [1.0], [1.0]), ("d", 8, [5.0, 1.0], [1.0, 3.0]), ("e", 8, None, [1.0])]
+    df = spark.createDataFrame(rows, "key string, rate int, samples array<double>, ref_samples array<double>")
+    got = {r["key"]: r["m"] for r in df.select("key", signal.signal_metric("samples", "ref_samples", "rate").alias("m")).collect()}
+    assert got["a"]["sdr"] == pytest.approx(signal.ci_sdr([1, 2], [1, 3])) and got["d"]["sar"] == pytest.approx(signal.ci_sdr([5, 1], [1, 3]))
+    assert got["c"]["error"] == got["e"]["error"] == "ValueError: an input is null" and got["b"]["sdr"] == 0
+
+
+def test_enhanced_items_are_scored_on_all_cores(spark):
+    assert catalog.queries()["enhanced_metrics"](spark, TABLES).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
