@@ -479,7 +479,8 @@ def vocoder_metrics(spark, d):
 @query(f"WITH c AS (SELECT key, list_transform(v, lambda x: x - list_avg(v)) AS e, list_transform(w, lambda x: x - list_avg(w)) AS t FROM ({_ZIPPED})), k AS (SELECT key, list_dot_product(e, t) AS et, list_dot_product(t, t) AS tt, list_dot_product(e, e) AS ee FROM c) SELECT CAST(key AS VARCHAR) AS key, round(10 * log10((et / tt) * (et / tt) * tt / (ee - (et / tt) * et)), 3) AS se_si_snr FROM k")
 def enhanced_metrics(spark, d):
     """Items against what an enhancement model made of them."""
-    gen = _items(spark, d).withColumn("enhanced", F.reverse("samples"))
+    # spread over all cores, as scoring takes far longer than reading
+    gen = _items(spark, d).repartition(spark.sparkContext.defaultParallelism, "key").withColumn("enhanced", F.reverse("samples"))
     return rounded(scoring.score(gen, [{"name": "se_snr"}], default_registry()), "se_si_snr", digits=3).select("key", "se_si_snr")
 
 
