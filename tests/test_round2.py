@@ -75,3 +75,15 @@ def test_distortion_ratios_of_many_rows_are_solved_together(monkeypatch, spark):
 
 def test_enhanced_items_are_scored_on_all_cores(spark):
     assert catalog.queries()["enhanced_metrics"](spark, TABLES).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_chroma_of_many_rows_is_made_once_a_signal(monkeypatch):
+    """Of all rows of one length together, to the last bit as alone: paths hang on ties."""
+    rng = np.random.default_rng(9)
+    est, ref = (np.stack([np.resize(rng.normal(size=64), 4000) for _ in range(5)]) for _ in range(2))
+    pairs = [[e, r] for e, r in zip(est, ref)] + [[est[0], ref[1][:2000]]]
+    want = [list(signal.chroma_distances(e, r, 16_000).values()) for e, r in pairs]
+    calls, real = [], signal.constant_q
+    monkeypatch.setattr(signal, "constant_q", lambda x, *a: (calls.append(len(x)), real(x, *a))[1])
+    score = lambda e, r, s: signal._chroma_distances((e, r), s, 100.0, signal.CHROMA_FEATURES, signal.CHROMA_METRICS, True)
+    assert signal._together(score, pairs, [16_000] * 6, cut=False) == want and sorted(calls) == [1, 1, 5, 5]
