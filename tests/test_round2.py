@@ -4,6 +4,7 @@ import math
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from scorelake.functions import columns as C
@@ -87,3 +88,11 @@ def test_chroma_of_many_rows_is_made_once_a_signal(monkeypatch):
     monkeypatch.setattr(signal, "constant_q", lambda x, *a: (calls.append(len(x)), real(x, *a))[1])
     score = lambda e, r, s: signal._chroma_distances((e, r), s, 100.0, signal.CHROMA_FEATURES, signal.CHROMA_METRICS, True)
     assert signal._together(score, pairs, [16_000] * 6, cut=False) == want and sorted(calls) == [1, 1, 5, 5]
+
+
+def test_both_intelligibilities_come_from_one_resampling(pair, monkeypatch, spark):
+    calls, real = [], signal.resample
+    want = [signal.stoi(*pair, 16_000), signal.stoi(*pair, 16_000, True)]
+    monkeypatch.setattr(signal, "resample", lambda *a: (calls.append(1), real(*a))[1])
+    got = signal.intelligibility.func(*(pd.Series([x]) for x in (*pair, 16_000))).iloc[0]
+    assert [got["stoi"], got["estoi"]] == want and len(calls) == 1
