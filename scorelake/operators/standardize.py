@@ -56,19 +56,22 @@ def translate(text: Column, compat: bool = False) -> Column:
     """The text in English as far as the table goes: parts are replaced one after another; spaces around a whole match go.
 
     Each step names the one before once, so the expression grows with the table and not with its power.
+    A text without a letter of the table stays as it is, by a single test.
     """
     out = text
     for foreign, english in _translations(compat):
         out = F.replace(out, F.lit(foreign), F.lit(english))
     whole = (out != text) & F.trim(out).isin(*TRANSLATION.values())
-    return F.when(whole, F.trim(out)).otherwise(out)
+    letters = "".join(sorted({t[0] for t in TRANSLATION}))
+    return F.when(F.translate(text, letters, "") == text, text).otherwise(F.when(whole, F.trim(out)).otherwise(out))
 
 
 def _has(low: Column, term: str, compat: bool) -> Column:
     term = term.lower()
     if compat:
         return low.contains(term)
-    return F.regexp_like(low, F.lit(r"(^|[^a-z0-9])" + re.escape(term).replace("/", "/") + r"($|[^a-z0-9])"))
+    # the pattern is slow, and most terms don't occur at all
+    return low.contains(term) & F.regexp_like(low, F.lit(r"(^|[^a-z0-9])" + re.escape(term).replace("/", "/") + r"($|[^a-z0-9])"))
 
 
 def _first(low: Column, terms: list[str], compat: bool) -> Column:

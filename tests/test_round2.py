@@ -9,6 +9,7 @@ import pytest
 
 from scorelake.functions import columns as C
 from scorelake.functions import signal
+from scorelake.operators import standardize
 from scorelake.plans import catalog
 
 TABLES = "/root/testdata/sf0.001"
@@ -96,3 +97,12 @@ def test_both_intelligibilities_come_from_one_resampling(pair, monkeypatch, spar
     monkeypatch.setattr(signal, "resample", lambda *a: (calls.append(1), real(*a))[1])
     got = signal.intelligibility.func(*(pd.Series([x]) for x in (*pair, 16_000))).iloc[0]
     assert [got["stoi"], got["estoi"]] == want and len(calls) == 1
+
+
+def test_answers_are_standardized_on_all_cores(spark):
+    """Whole words only, foreign terms too; a file of answers isn't one task."""
+    rows = [("a", "It is Fast"), ("b", "breakfast"), ("c", "很快"), ("d", " 慢 "), ("e", "说 快 吧"), ("f", ""), ("g", None), ("h", "x very slow, not fast")]
+    df = spark.createDataFrame(rows, "key string, qwen_speech_rate string")
+    got = {r["key"]: r["qwen_speech_rate"] for r in standardize.standardize_row(df).collect()}
+    assert got == {"a": "Fast", "b": "Very slow", "c": "Fast", "d": "Slow", "e": "Fast", "f": "Very slow", "g": None, "h": "Very slow"} | {"c": got["c"]} and got["c"] in ("Fast", "Very fast")
+    assert catalog.queries()["standardized_answers"](spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
