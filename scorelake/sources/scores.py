@@ -24,7 +24,8 @@ PATTERNS = ("*.jsonl", "*.json", "*.jl", "*.txt")
 
 def variant(line: Column) -> Column:
     """A line as VARIANT; null where it isn't JSON. Infinity and NaN become strings of those names."""
-    return F.try_parse_json(F.regexp_replace(line, _SPECIAL, '$1"$2"'))
+    special = line.contains("Infinity") | line.contains("NaN")
+    return F.try_parse_json(F.when(special, F.regexp_replace(line, _SPECIAL, '$1"$2"')).otherwise(line))
 
 
 def as_number(value: Column, booleans: bool = False) -> Column:
@@ -134,9 +135,10 @@ def json_to_transcript(lines: DataFrame, key_path: str = "$.segment_index", text
     """(key, text) at dotted paths, text cleaned; rows without key or text are left out, sorted by key."""
     from scorelake.functions.columns import clean_transcript
 
-    v = variant(F.col(line))
-    rows = lines.select(F.try_variant_get(v, key_path, "string").alias("key"), clean_transcript(F.try_variant_get(v, text_path, "string")).alias("text"))
-    return rows.filter("key is not null and key != '' and text is not null and text != ''").orderBy("key")
+    # one row or none: a filter would be pushed below and parse each line anew for each of its conditions
+    parsed = F.transform(F.array(variant(F.col(line))), lambda v: F.struct(F.try_variant_get(v, key_path, "string").alias("key"), clean_transcript(F.try_variant_get(v, text_path, "string")).alias("text")))
+    rows = lines.select(F.inline(F.filter(parsed, lambda r: (r["key"] != "") & (r["text"] != ""))))
+    return rows.orderBy("key")
 
 
 def described(df: DataFrame, key: str = "key", answer: str = "answer") -> DataFrame:
