@@ -14,7 +14,7 @@ PARTS = ("delete", "insert", "replace", "equal")
 def count_errors(df: DataFrame, ref: str = "ref_text", hyp: str = "hyp_text", prefix: str = "whisper", strip_chars: bool = True) -> DataFrame:
     """``df`` with word and character counts as <prefix>_wer_<part> and <prefix>_cer_<part>."""
     trim = F.trim if strip_chars else (lambda c: c)
-    both = df.withColumns({"__w": edit.counts(words(ref), words(hyp)), "__c": edit.counts(edit.characters(trim(F.col(ref))), edit.characters(trim(F.col(hyp))))})
+    both = df.withColumns({"__w": edit.counts(words(ref), words(hyp)), "__c": edit.character_counts(trim(F.col(ref)), trim(F.col(hyp)))})
     named = {f"{prefix}_{kind}_{p}": F.col(f"{c}.{p}") for kind, c in (("wer", "__w"), ("cer", "__c")) for p in PARTS}
     return both.withColumns(named).drop("__w", "__c")
 

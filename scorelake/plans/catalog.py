@@ -275,7 +275,7 @@ def all_pairs_similarity(spark, d):
 
 @query(f"SELECT conv_id, turn, CAST(levenshtein(ref_text, hyp_text) AS BIGINT) AS errors, CAST(length(ref_text) AS BIGINT) AS ref_length, CAST(length(hyp_text) AS BIGINT) AS hyp_length FROM ({_TURNS_SQL})")
 def edit_counts(spark, d):
-    t = turns(spark, d).withColumn("c", edit.counts(edit.characters(F.col("ref_text")), edit.characters(F.col("hyp_text"))))
+    t = turns(spark, d).withColumn("c", edit.character_counts(F.col("ref_text"), F.col("hyp_text")))
     part = lambda *names: sum((F.col(f"c.{n}") for n in names[1:]), F.col(f"c.{names[0]}"))
     return t.select("conv_id", "turn", part("delete", "insert", "replace").alias("errors"), part("delete", "replace", "equal").alias("ref_length"), part("insert", "replace", "equal").alias("hyp_length"))
 

@@ -293,7 +293,7 @@ def _wer(model: str, strip: bool = True) -> Score:
     def score(df: DataFrame, config: dict) -> Column:
         hyp, ref = _cleaned(f"{model}_hyp_text", config), _cleaned("text", config)
         trim = F.trim if strip else (lambda c: c)
-        parts = {"wer": edit.counts(words(ref), words(hyp)), "cer": edit.counts(edit.characters(trim(ref)), edit.characters(trim(hyp)))}
+        parts = {"wer": edit.counts(words(ref), words(hyp)), "cer": edit.character_counts(trim(ref), trim(hyp))}
         if config.get("calc_per"):
             parts["per"] = edit.counts(edit.phonemes(F.col("phonemes")), edit.phonemes(F.col(f"{model}_phonemes")))
         counts = F.struct(*(c.alias(k) for k, c in parts.items()))
@@ -305,7 +305,7 @@ def _wer(model: str, strip: bool = True) -> Score:
 def _asr_match(df: DataFrame, config: dict) -> Column:
     """Mismatch of the transcripts of an item and of its reference, both by the same recogniser."""
     hyp, ref = _cleaned("whisper_hyp_text", config), _cleaned("ref_hyp_text", config)
-    counts = edit.counts(edit.characters(ref), edit.characters(hyp))
+    counts = edit.character_counts(ref, hyp)
 
     def rated(c: Column) -> Column:
         n = F.length(ref)

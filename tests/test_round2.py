@@ -6,11 +6,13 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from scorelake.functions import columns as C
-from scorelake.functions import signal
-from scorelake.operators import standardize
+from scorelake.functions import edit, signal
+from scorelake.operators import standardize, wer
 from scorelake.plans import catalog
+from scorelake.sources import scores as files
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -106,3 +108,19 @@ def test_answers_are_standardized_on_all_cores(spark):
     got = {r["key"]: r["qwen_speech_rate"] for r in standardize.standardize_row(df).collect()}
     assert got == {"a": "Fast", "b": "Very slow", "c": "Fast", "d": "Slow", "e": "Fast", "f": "Very slow", "g": None, "h": "Very slow"} | {"c": got["c"]} and got["c"] in ("Fast", "Very fast")
     assert catalog.queries()["standardized_answers"](spark, TABLES).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_characters_are_counted_in_texts(spark, monkeypatch):
+    """Texts go to Python as they are, not as arrays of characters; code points count, and nulls stay."""
+    rows = [("a", "kitten", "sitting"), ("b", "", "äß"), ("c", None, "x"), ("d", "a\U0001f600b", "ab"), ("e", "", "")]
+    df = spark.createDataFrame(rows, "key string, ref string, hyp string")
+    both = df.select("key", edit.character_counts(F.col("ref"), F.col("hyp")).alias("t"), edit.counts(edit.characters(F.col("ref")), edit.characters(F.col("hyp"))).alias("c")).collect()
+    assert all(r["t"] == r["c"] for r in both) and {r["key"]: r["t"]["delete"] for r in both} == {"a": 0, "b": 0, "c": None, "d": 1, "e": 0}
+    assert "split(" not in catalog.edit_counts(spark, TABLES)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_transcript_line_is_parsed_once(spark):
+    lines = ['{"segment_index": 2, "local_scene": " a\\n b "}', '{"segment_index": 10, "local_scene": "straße", "x": NaN}', '{"segment_index": "", "local_scene": "c"}', '{"segment_index": 3, "local_scene": " "}', '{"local_scene": "d"}', '{"segment_index": 4}', "no json", None]
+    out = files.json_to_transcript(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [tuple(r) for r in out.collect()] == [("10", "STRASSE"), ("2", "A B")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parse") == 1
