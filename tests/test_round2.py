@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import columns as C
 from scorelake.functions import edit, signal
-from scorelake.operators import standardize, wer
+from scorelake.operators import pairing, standardize, wer
 from scorelake.plans import catalog
 from scorelake.sources import scores as files
 
@@ -124,3 +124,20 @@ def test_a_transcript_line_is_parsed_once(spark):
     out = files.json_to_transcript(spark.createDataFrame([(x,) for x in lines], "value string"))
     assert [tuple(r) for r in out.collect()] == [("10", "STRASSE"), ("2", "A B")]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("parse") == 1
+
+
+def test_all_pairs_move_their_vectors_once(spark):
+    """Blocks are read where they lie: no copies of vectors are shuffled, whatever the number of blocks."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)).astype(np.float32)
+    x[7] = 0
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "key string, embedding array<float>")
+    out = pairing.all_pairs(df, rows=5)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 60 * 59 // 2 and all(r["a"] < r["b"] for r in got)
+    for r in got:
+        a, b = (x[int(r[s][1:])].astype(float) for s in "ab")
+        want = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) if a.any() and b.any() else math.nan
+        assert r["similarity"] == pytest.approx(want, abs=1e-12, nan_ok=True)
+    assert pairing.all_pairs(df.limit(0)).count() == 0
